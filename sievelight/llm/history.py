@@ -96,9 +96,10 @@ class History:
     @staticmethod
     def _settle_fresh(fresh: DataFrame, pairs: DataFrame) -> DataFrame:
         """Rounds over the signatures that history doesn't settle; places are the values they sit at or look at."""
-        own = F.filter(F.array("sha", F.col("ph").cast("binary")), lambda p: p.isNotNull())
+        place = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+        own = F.filter(F.array("sha", place("ph")), lambda p: p.isNotNull())
         sits = fresh.select("row_id", "t", F.explode(own).alias("place"))
-        near = fresh.join(pairs.select("ph", "other"), "ph").select("row_id", "t", F.col("other").cast("binary").alias("place"))
+        near = fresh.join(pairs.select("ph", "other"), "ph").select("row_id", "t", place("other").alias("place"))
         looks = sits.unionByName(near)
         # alone: no other signature sits at any place that it looks at
         crowd = sits.groupBy("place").agg(F.min("t").alias("first"), F.max("t").alias("last"))
