@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievelight.llm import history, overlap, proportions, splits
+from sievelight.llm import history, overlap, percentiles, proportions, splits
 from sievelight.plans import normal_sql as N
+from sievelight.session import materialise
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -40,6 +42,23 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.new_splits(_read(spark, d, "manifest"), _read(spark, d, "split_targets"))
 
 
+QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per group, with what is kept per day put together: value, n and the stated bound of each percentile's rank."""
+    kept = materialise(percentiles.daily(_read(spark, d, "manifest"), _read(spark, d, "predictions")), "daily")
+    return percentiles.over_all_days(kept, QUANTILES).withColumn("name", F.when(F.col("name") != "", F.col("name")))
+
+
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every stated bound holds, counted over all rows."""
+    manifest, predictions = _read(spark, d, "manifest"), _read(spark, d, "predictions")
+    estimates = materialise(percentiles.over_all_days(percentiles.daily(manifest, predictions), QUANTILES), "estimates")
+    held = percentiles.bounds_hold(estimates, manifest, predictions)
+    return held.withColumn("name", F.when(F.col("name") != "", F.col("name")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(_read(spark, d, "manifest"))
 
@@ -48,7 +67,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_read(spark, d, "manifest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_sample, p2_report, p3_found, p3_splits, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_sample, p2_report, p3_found, p3_splits, p4_percentiles, p4_bounds, p5_found, p5_report)}
 
 P2 = f"""
 WITH pool AS (SELECT {N.sha()} AS sha, CAST(label AS VARCHAR) AS label, {N.name("generator")} AS generator, {N.name("source")} AS source FROM manifest WHERE {N.split()} = 'train'),
@@ -73,4 +92,12 @@ pairs AS (SELECT e.row_id AS x, t.row_id AS y FROM e JOIN t ON e.sha = t.sha
  UNION SELECT e.row_id, t.row_id FROM v JOIN e ON e.ph = v.pe JOIN t ON t.ph = v.pt)
 SELECT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM pairs"""
 
-ORACLES = {"p2_found": P2, "p3_found": P3, "p5_found": P5}
+P4 = f"""
+WITH m AS (SELECT {N.name("source")} AS s, {N.name("generator")} AS g, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height FROM manifest),
+r AS (SELECT 'source' AS by_field, s AS name, 'width' AS metric, width AS x FROM m UNION ALL SELECT 'source', s, 'height', height FROM m
+ UNION ALL SELECT 'generator', g, 'width', width FROM m UNION ALL SELECT 'generator', g, 'height', height FROM m
+ UNION ALL SELECT 'condition', condition, 'pred', pred FROM predictions),
+n AS (SELECT by_field, name, metric, count(*) AS n FROM r WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)
+SELECT by_field, name, metric, CAST(q AS DOUBLE) AS q, n, true AS holds FROM n, (SELECT unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS q)"""
+
+ORACLES = {"p4_bounds": P4, "p2_found": P2, "p3_found": P3, "p5_found": P5}
