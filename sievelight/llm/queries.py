@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import history, overlap, percentiles, proportions, splits
+from sievelight.llm import history, leaks, overlap, percentiles, proportions, splits, tokens
 from sievelight.plans import normal_sql as N
 from sievelight.session import materialise
 
@@ -67,7 +67,22 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_read(spark, d, "manifest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_sample, p2_report, p3_found, p3_splits, p4_percentiles, p4_bounds, p5_found, p5_report)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(_read(spark, d, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document's ids decode to its text."""
+    documents = _read(spark, d, "documents")
+    decoded = tokens.decode(materialise(tokens.encode(documents), "ids")).withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_sample, p2_report, p3_found, p3_splits, p4_percentiles, p4_bounds, p5_found, p5_report, p7_ids, p7_roundtrip, p8_found)}
 
 P2 = f"""
 WITH pool AS (SELECT {N.sha()} AS sha, CAST(label AS VARCHAR) AS label, {N.name("generator")} AS generator, {N.name("source")} AS source FROM manifest WHERE {N.split()} = 'train'),
@@ -100,4 +115,14 @@ r AS (SELECT 'source' AS by_field, s AS name, 'width' AS metric, width AS x FROM
 n AS (SELECT by_field, name, metric, count(*) AS n FROM r WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)
 SELECT by_field, name, metric, CAST(q AS DOUBLE) AS q, n, true AS holds FROM n, (SELECT unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS q)"""
 
-ORACLES = {"p4_bounds": P4, "p2_found": P2, "p3_found": P3, "p5_found": P5}
+P7 = "SELECT doc_id, true AS same FROM documents"
+
+#: Words joined by single spaces, so that a run of words is a substring.
+P8 = """
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS run FROM i, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS run FROM d, unnest(range(1, len(w) - 10)) AS t(k) WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (run)"""
+
+ORACLES = {"p7_roundtrip": P7, "p8_found": P8, "p4_bounds": P4, "p2_found": P2, "p3_found": P3, "p5_found": P5}
