@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import history, leaks, overlap, percentiles, proportions, splits, tokens
+from sievelight.llm import history, leaks, mojibake, overlap, percentiles, proportions, splits, tokens
 from sievelight.plans import normal_sql as N
 from sievelight.session import materialise
 
@@ -82,7 +82,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_sample, p2_report, p3_found, p3_splits, p4_percentiles, p4_bounds, p5_found, p5_report, p7_ids, p7_roundtrip, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.judged(_read(spark, d, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents' texts with every word restored that can be."""
+    return mojibake.restored(_read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_sample, p2_report, p3_found, p3_splits, p4_percentiles, p4_bounds, p5_found, p5_report, p7_ids, p7_roundtrip, p8_found, p9_found, p9_restored)}
 
 P2 = f"""
 WITH pool AS (SELECT {N.sha()} AS sha, CAST(label AS VARCHAR) AS label, {N.name("generator")} AS generator, {N.name("source")} AS source FROM manifest WHERE {N.split()} = 'train'),
