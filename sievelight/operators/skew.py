@@ -50,3 +50,19 @@ def take_by_hash(rows: DataFrame, wanted: DataFrame, keys: list[str], ident: str
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", ident))
     last = last.withColumn("_r", rank).where(F.col("_r") <= F.col("_rest"))
     return whole.select(*rows.columns).unionByName(last.select(*rows.columns))
+
+
+def random_rank(rows: DataFrame, keys: list[str], digits: Column) -> DataFrame:
+    """``rows`` with ``place``: 1, 2, ... within each key by ``digits`` (hex digits that order rows at random).
+
+    The first three digits are a bucket; a running count of buckets gives where each begins, and only rows of one bucket
+    are ordered together, so a key that holds most rows is spread over 4096 windows.
+    """
+    drawn = rows.withColumn("_d", digits).withColumn("_b", F.substring("_d", 1, 3))
+    counts = drawn.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    on = [drawn[k].eqNullSafe(start[k]) for k in [*keys, "_b"]]
+    joined = drawn.join(start, on).select(*[drawn[c] for c in drawn.columns], "_at")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_d"))
+    return joined.withColumn("place", (F.col("_at") + inside).cast("bigint")).drop("_d", "_b", "_at")
