@@ -61,8 +61,9 @@ def random_rank(rows: DataFrame, keys: list[str], digits: Column) -> DataFrame:
     drawn = rows.withColumn("_d", digits).withColumn("_b", F.substring("_d", 1, 3))
     counts = drawn.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
-    on = [drawn[k].eqNullSafe(start[k]) for k in [*keys, "_b"]]
-    joined = drawn.join(start, on).select(*[drawn[c] for c in drawn.columns], "_at")
+    names = [*keys, "_b"]
+    start = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
+    joined = drawn.join(start, on).drop(*[f"_k{i}" for i in range(len(names))])
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_d"))
     return joined.withColumn("place", (F.col("_at") + inside).cast("bigint")).drop("_d", "_b", "_at")
