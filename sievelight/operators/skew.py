@@ -55,10 +55,17 @@ def take_by_hash(rows: DataFrame, wanted: DataFrame, keys: list[str], ident: str
 def random_rank(rows: DataFrame, keys: list[str], digits: Column) -> DataFrame:
     """``rows`` with ``place``: 1, 2, ... within each key by ``digits`` (hex digits that order rows at random).
 
-    The first three digits are a bucket; a running count of buckets gives where each begins, and only rows of one bucket
-    are ordered together, so a key that holds most rows is spread over 4096 windows.
+    The first three digits are the bucket, so a key that holds most rows is spread over 4096 windows.
     """
-    drawn = rows.withColumn("_d", digits).withColumn("_b", F.substring("_d", 1, 3))
+    return bucket_rank(rows, keys, digits, F.substring(digits, 1, 3))
+
+
+def bucket_rank(rows: DataFrame, keys: list[str], order: Column, bucket: Column) -> DataFrame:
+    """``rows`` with ``place``: 1, 2, ... within each key by ``order``; ``bucket`` must not fall as ``order`` rises.
+
+    A running count of buckets gives where each begins, and only rows of one bucket are ordered together.
+    """
+    drawn = rows.withColumn("_d", order).withColumn("_b", bucket)
     counts = drawn.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     names = [*keys, "_b"]
