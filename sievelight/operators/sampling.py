@@ -74,13 +74,13 @@ def byte_budget(rows: DataFrame, group: str, size: str, digits: Column, budget:
             levels.append((g, i, k))
     spark = rows.sparkSession
     kind = dict(rows.dtypes)[group]
-    table = spark.createDataFrame(levels, f"g {kind}, level int, keep bigint")
-    bounds = table.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("keep", "level"))).alias("ls"))
+    table = spark.createDataFrame(levels, f"_g {kind}, level int, keep bigint")
+    bounds = table.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("keep", "level"))).alias("_ls"))
     # each row counts once, at the smallest cut that keeps it; larger ones follow by adding up
-    at = placed.join(F.broadcast(bounds), placed[group].eqNullSafe(bounds["g"])).withColumn("keep", F.element_at(F.filter("ls", lambda x: x["keep"] >= F.col("place")), 1)["keep"])
+    at = placed.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_keep", F.element_at(F.filter("_ls", lambda x: x["keep"] >= F.col("place")), 1)["keep"])
     sums: dict = {}
-    for r in at.groupBy(group, "keep").agg(F.sum(size).alias("s")).collect():
-        sums.setdefault(r[group], {})[r["keep"]] = r["s"] or 0
+    for r in at.groupBy(group, "_keep").agg(F.sum(size).alias("_s")).collect():
+        sums.setdefault(r[group], {})[r["_keep"]] = r["_s"] or 0
     kept = dict(counts)
     weigh = lambda g: sum(s for k, s in sums.get(g, {}).items() if k <= kept[g])
     weight = {g: weigh(g) for g in kept}
@@ -91,8 +91,8 @@ def byte_budget(rows: DataFrame, group: str, size: str, digits: Column, budget:
         g = max(heavy, key=lambda x: (heavy[x], str(x)))
         kept[g] = max(floor, int(kept[g] * 0.75))
         weight[g] = weigh(g)
-    limit = spark.createDataFrame(list(kept.items()), f"g {kind}, _keep bigint")
-    return placed.join(F.broadcast(limit), placed[group].eqNullSafe(limit["g"])).where(F.col("place") <= F.col("_keep")).drop("g", "_keep")
+    limit = spark.createDataFrame(list(kept.items()), f"_g {kind}, _keep bigint")
+    return placed.join(F.broadcast(limit), F.col(group).eqNullSafe(F.col("_g"))).where(F.col("place") <= F.col("_keep")).drop("_g", "_keep")
 
 
 def balance_unseen(rows: DataFrame, seed: int = 1337) -> DataFrame:
