@@ -189,7 +189,8 @@ def learn_weights(counts: dict[tuple[str, str], int], rounds: int = 30) -> dict[
 def clusters(manifest: DataFrame) -> DataFrame:
     """(row_id, class_id, links): of every identified row its class and how many accepted values it matches before it.
 
-    class_id is the smallest row_id of the accepted rows merged into the class; copies keep the links of their signature.
+    class_id is the smallest row_id of the accepted rows merged into the class. A copy has the links of the first row with
+    its hashes and, if that row was accepted, one to it.
     """
     history = begin(manifest.where("batch_no = 0"))
     rows = materialise(identified(manifest), "rows")
@@ -218,10 +219,13 @@ def clusters(manifest: DataFrame) -> DataFrame:
             score = score + F.when(F.col(column) == x, F.lit(w)).otherwise(F.lit(0.0))
     best = links.withColumn("score", score).groupBy("row_id").agg(F.max_by(F.col("to.r"), F.struct("score", -F.col("to.b"), -F.col("to.r"))).alias("rep"), F.count_distinct("to").alias("links"))
     best = materialise(best, "best")
-    # union-find: representatives that one case joins; all others keep themselves
-    edges = links.join(best.select("row_id", "rep"), "row_id").where(F.col("to.r") != F.col("rep")).select(F.col("rep").alias("a"), F.col("to.r").alias("b")).distinct()
+    # an accepted row represents itself; a case by its best link. Union-find joins the representatives that one row links.
+    taken = accepted.select("row_id", F.lit(1).alias("taken"))
+    own = signatures.select("sha", "ph", "row_id").join(best, "row_id", "left").join(taken, "row_id", "left")
+    rep = F.when(F.col("taken") == 1, F.col("row_id")).otherwise(F.coalesce("rep", "row_id"))
+    own = materialise(own.select("sha", "ph", F.col("row_id").alias("first"), "taken", rep.alias("rep"), F.coalesce("links", F.lit(0)).alias("links")), "own")
+    edges = links.join(own.select(F.col("first").alias("row_id"), "rep"), "row_id").where(F.col("to.r") != F.col("rep")).select(F.col("rep").alias("a"), F.col("to.r").alias("b")).distinct()
     merged = hash_to_min(materialise(edges, "edges")).select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
-    own = signatures.select("sha", "ph", "row_id").join(best, "row_id", "left").select("sha", "ph", F.coalesce("rep", "row_id").alias("rep"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = own.join(merged, "rep", "left").select("sha", "ph", F.coalesce("class_id", "rep").alias("class_id"), "links")
-    on = rows["sha"].eqNullSafe(named["sha"]) & rows["ph"].eqNullSafe(named["ph"])
-    return rows.join(named, on).select("row_id", "class_id", "links")
+    named = own.join(merged, "rep", "left").select(F.col("sha").alias("_s"), F.col("ph").alias("_p"), "first", "taken", F.coalesce("class_id", "rep").alias("class_id"), "links")
+    copy = F.when(F.col("row_id") != F.col("first"), F.coalesce("taken", F.lit(0))).otherwise(0)
+    return rows.join(named, F.col("sha").eqNullSafe(F.col("_s")) & F.col("ph").eqNullSafe(F.col("_p"))).select("row_id", "class_id", (F.col("links") + copy).alias("links"))

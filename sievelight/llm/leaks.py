@@ -113,9 +113,9 @@ class ItemWindows:
                 close = np.bitwise_count(prints[p] ^ self.prints[w]) <= RADIUS
                 positions.append(p[close])
                 windows.append(w[close])
+        if not any(map(len, positions)):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         p, w = np.concatenate(positions), np.concatenate(windows)
-        if not len(p):
-            return p, w
         keep = []
         views = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
         for at in range(0, len(p), 1 << 16):
