@@ -9,14 +9,20 @@ SPLITS = ("train", "val", "test_unseen", "held", "eval_only")
 EVALUATION_SPLITS = ("val", "test_unseen", "eval_only")
 
 
+#: The characters that count as white space around a value.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _bare(value: Column) -> Column:
     """Lower case, without surrounding white space."""
-    return F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""))
+    return F.lower(F.trim(value, F.lit(SPACE)))
 
 
 def _hex_digits(value: Column, digits: int) -> Column:
-    found = F.regexp_extract(_bare(value), rf"^(?:[a-z][a-z0-9_-]*:\s*)?(?:0x)?([0-9a-f]{{{digits}}})$", 1)
-    return F.when(found != "", found)
+    """A pattern is only matched where a value is longer than its digits; the digits are checked by translation."""
+    bare = _bare(value)
+    text = F.when(F.length(bare) > digits, F.regexp_replace(bare, r"^(?:[a-z][a-z0-9_-]*:\s*)?(?:0x)?", "")).otherwise(bare)
+    return F.when((F.length(text) == digits) & (F.translate(text, "0123456789abcdef", "") == ""), text)
 
 
 def sha256_of(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.normal import name_of, phash_of, sha256_of, split_of
+from sievelight.session import materialise
 
 #: Which split keeps a record that lies in several; the strictest first.
 PRECEDENCE = ("eval_only", "test_unseen", "held", "val", "train")
@@ -76,7 +77,13 @@ def dedup_splits(rows: DataFrame, within_split: bool = True) -> DataFrame:
 
 
 def dedup_parity(rows: DataFrame) -> DataFrame:
-    return rows if straddling(rows).isEmpty() else dedup_splits(rows)
+    """As ``dedup_splits`` if any hash straddles splits, else the rows as they are; one aggregation tells both."""
+    best = F.min(F.struct(rank_of_split().alias("k"), "row_id")).alias("best")
+    splits = F.bit_count(F.bit_or(F.when(F.col("split").isNotNull(), F.pow(F.lit(2.0), rank_of_split().cast("double")).cast("int")).otherwise(0))).alias("splits")
+    kept = materialise(rows.where(F.col("sha").isNotNull()).groupBy("sha").agg(best, splits).select(F.col("best.row_id").alias("row_id"), "splits"), "kept")
+    if kept.where("splits > 1").isEmpty():
+        return rows
+    return rows.join(kept.select("row_id"), "row_id", "left_semi").unionByName(rows.where(F.col("sha").isNull()))
 
 
 def quarantined_by_sha(rows: DataFrame) -> DataFrame:
