@@ -24,6 +24,8 @@ from sievelight.session import materialise
 
 #: Words broadcast, and the most bytes of one; with their ids that is below 4 MB.
 FREQUENT, LONGEST = 20_000, 32
+#: Bits of an id and of its place within a word; the word's place in the text takes the rest of 63.
+ID_BITS, PLACE_BITS = 17, 18
 
 #: Fixed value: the pattern that the byte-level vocabularies are split by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -59,6 +61,19 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n bigint, ids array<int>")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(_id, ids) of (_id, at, ids): each id travels with its place as one number, so a document's numbers only need sorting."""
+    number = F.transform("ids", lambda x, j: F.shiftleft(F.col("at").cast("bigint"), ID_BITS + PLACE_BITS).bitwiseOR(F.shiftleft(j.cast("bigint"), ID_BITS)).bitwiseOR(x.cast("bigint")))
+    numbers = rows.select("_id", F.explode(number).alias("n")).groupBy("_id").agg(F.sort_array(F.collect_list("n")).alias("ns"))
+    return numbers.select("_id", F.transform("ns", lambda n: n.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")).alias("ids"))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """The same for words of any number of ids."""
+    whole = rows.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("p"))
+    return whole.select("_id", F.flatten("p.ids").alias("ids"))
+
+
 def encode(documents: DataFrame, ident: str = "doc_id", text: str = "text", folder: str | None = None, name: str = "byte_bpe_50k") -> DataFrame:
     """(ident, ids array<int>), one row per row of ``documents``; ``ident`` is unique."""
     split = documents.select(F.col(ident).alias("_id"), pretokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
@@ -68,11 +83,11 @@ def encode(documents: DataFrame, ident: str = "doc_id", text: str = "text", fold
     frequent = materialise(frequent.select("word", "ids"), "frequent")
     rare = coded.join(F.broadcast(frequent.select("word")), "word", "left_anti").select("word", "ids")
     placed = split.select("_id", F.posexplode("_words").alias("at", "word"))
-    near = placed.join(F.broadcast(frequent), "word", "left")
-    known = near.where(F.col("ids").isNotNull()).select("_id", "at", "ids")
-    met = placed.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(rare, "word").select("_id", "at", "ids")
-    whole = known.unionByName(met).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("p"))
-    flat = whole.select("_id", F.flatten("p.ids").alias("ids"))
+    known = placed.join(F.broadcast(frequent), "word")
+    met = placed.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(rare, "word")
+    whole = known.select("_id", "at", "ids").unionByName(met.select("_id", "at", "ids"))
+    longest = coded.agg(F.coalesce(F.max(F.size("ids")), F.lit(0))).first()[0]
+    flat = _packed(whole) if longest < 1 << PLACE_BITS else _listed(whole)
     out = documents.select(F.col(ident).alias("_id")).join(flat, "_id", "left")
     return out.select(F.col("_id").alias(ident), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 

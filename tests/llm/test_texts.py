@@ -38,6 +38,9 @@ def test_ids_are_those_of_the_library(spark):
 def test_decoding_inverts_and_rare_words_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(tokens, "FREQUENT", 2)
     encoded = tokens.encode(docs(spark, TEXTS))
+    ids = {r["doc_id"]: r["ids"] for r in encoded.collect()}
+    monkeypatch.setattr(tokens, "PLACE_BITS", 1)  # words with more ids than that take no packed numbers
+    assert ids == {r["doc_id"]: r["ids"] for r in tokens.encode(docs(spark, TEXTS)).collect()}
     back = {r["doc_id"]: r["text"] for r in tokens.decode(encoded).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert tokens.encode(docs(spark, TEXTS).limit(0)).count() == 0
