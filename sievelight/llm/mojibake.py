@@ -92,39 +92,57 @@ def bare(word: str) -> str:
     return word[at[0] : at[-1] + 1].lower() if at else ""
 
 
+DIGITS = str.maketrans("123456789", "000000000")
+
+
+def level(word: str) -> str:
+    """A word with all digits alike: no chain here changes digits, and numbers would be no two the same."""
+    return word.translate(DIGITS)
+
+
 class Classifier:
     """Multinomial over bigrams: class 0 is clean, class k is CHAINS[k - 1]."""
 
     def __init__(self, logp: np.ndarray, prior: np.ndarray, known: frozenset[str]) -> None:
         self.logp, self.prior, self.known = logp, prior, known
-        self.seen: dict[str, list[tuple[int, str | None, bool]]] = {}
+        self.seen: dict[str, list[tuple[int, bool]]] = {}
 
     @classmethod
     def train(cls, words: Counter, rounds: int = 3) -> Classifier:
-        clean = dict(words)
+        """Rounds differ in which words count as clean only, so what each word gives each class is made once."""
+        plain = Counter()
+        for word, n in words.items():
+            plain[level(word)] += n
+        names = list(plain)
+        weight = np.array([plain[w] for w in names], dtype=np.float64) ** 0.75
+        made: list[tuple[np.ndarray, np.ndarray]] = []  # by class: bucket and word of every feature
+        for chain in (None, *CHAINS):
+            buckets, owners = [], []
+            for i, word in enumerate(names):
+                seen = word if chain is None else garble(word, chain)
+                if seen is not None and (chain is None or seen != word and LOSSY not in seen):
+                    f = features(seen)
+                    buckets.append(f)
+                    owners.append(np.full(len(f), i))
+            made.append((np.concatenate(buckets), np.concatenate(owners)) if buckets else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
         prior = np.full(len(CHAINS) + 1, 0.03 / len(CHAINS))
         prior[0] = 0.97
+        clean = np.ones(len(names), dtype=bool)
         model = None
         for _ in range(rounds):
             counts = np.full((len(CHAINS) + 1, BUCKETS), 0.02)
-            for word, n in clean.items():
-                weight = n**0.75
-                np.add.at(counts[0], features(word), weight)
-                for k, chain in enumerate(CHAINS, 1):
-                    bad = garble(word, chain)
-                    if bad is not None and bad != word and LOSSY not in bad:
-                        np.add.at(counts[k], features(bad), weight)
+            for k, (buckets, owners) in enumerate(made):
+                keep = clean[owners]
+                counts[k] += np.bincount(buckets[keep], weights=weight[owners[keep]], minlength=BUCKETS)
             known = Counter()
-            for word, n in clean.items():
-                known[bare(word)] += n
+            for i in np.flatnonzero(clean):
+                known[bare(names[i])] += plain[names[i]]
             model = cls(np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(prior), frozenset(w for w, n in known.items() if n > 1 and len(w) > 1))
             found = Counter()
-            clean = {}
-            for word, n in words.items():
+            for i, word in enumerate(names):
                 k = next((k for k, _, sure in model.candidates(word) if sure), 0)
-                found[k] += n
-                if k == 0:
-                    clean[word] = n
+                found[k] += plain[word]
+                clean[i] = k == 0
             total = sum(found.values()) or 1
             prior = np.array([max(found[k] / total, 1e-5) for k in range(len(CHAINS) + 1)])
             prior /= prior.sum()
@@ -136,16 +154,17 @@ class Classifier:
 
     def candidates(self, word: str) -> list[tuple[int, str | None, bool]]:
         """(class, original, sure), likeliest first, of the chains likelier than clean; class -1 is beyond repair. None: clean."""
-        known = self.seen.get(word)
+        plain = level(word)
+        known = self.seen.get(plain)
         if known is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            known = self.seen[word] = self._candidates(word)
-        return known
+            known = self.seen[plain] = self._candidates(plain)
+        return [(k, invert(word, CHAINS[k - 1]) if k > 0 else None, sure) for k, sure in known]
 
-    def _candidates(self, word: str) -> list[tuple[int, str | None, bool]]:
+    def _candidates(self, word: str) -> list[tuple[int, bool]]:
         if LOSSY in word:
-            return [(-1, None, True)]
+            return [(-1, True)]
         scores, found = self._scores(word), []
         for k in map(int, np.argsort(-scores)):
             if k == 0:
@@ -155,7 +174,7 @@ class Classifier:
             if back is None or back == word or garble(back, chain) != word:
                 continue  # not what this chain makes of anything
             if back.isascii() or self._scores(back)[0] + 1.0 >= scores[0]:  # the original must be the better clean word
-                found.append((k, back, chain[0][0] == "utf-8" or bare(back) in self.known))
+                found.append((k, chain[0][0] == "utf-8" or bare(back) in self.known))
         return found
 
     def judge(self, words: list[str]) -> list[tuple[str, int, str | None]]:
@@ -173,7 +192,7 @@ def train(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> Cl
     """A classifier from a bounded sample: words of the SAMPLE documents of least hash."""
     picked = documents.select(F.xxhash64(ident).alias("h"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
     picked = picked.orderBy("h").limit(SAMPLE)
-    counts = picked.select(F.explode("w").alias("w")).where(F.octet_length("w") <= 200).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
+    counts = picked.select(F.explode("w").alias("w")).select(F.translate("w", "123456789", "000000000").alias("w")).where(F.octet_length("w") <= 200).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
     return Classifier.train(Counter({r["w"]: r["n"] for r in counts.collect()}))
 
 
