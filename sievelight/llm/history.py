@@ -134,6 +134,12 @@ class History:
         return rows.select("row_id").join(accepted.select("row_id"), "row_id", "left_anti")
 
 
+    def close(self) -> None:
+        """Forget the tables' names in this session; their files stay in the history's folder."""
+        for kind in (SAME, NEAR):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
+
+
 def begin(rows: DataFrame) -> History:
     """A history of rows that are all accepted."""
     history = History(rows.sparkSession)
@@ -148,7 +154,9 @@ def found(manifest: DataFrame) -> DataFrame:
     """Cases of all later batches, taken as one delivery in order, against batch 0."""
     history = begin(manifest.where("batch_no = 0"))
     rows = materialise(identified(manifest.where("batch_no > 0")), "delivery")
-    return rows.select("row_id").join(history.settle(rows).select("row_id"), "row_id", "left_anti")
+    accepted = history.settle(rows).select("row_id")
+    history.close()  # what settles the rows is materialised
+    return rows.select("row_id").join(accepted, "row_id", "left_anti")
 
 
 # Links, weights and clusters.
