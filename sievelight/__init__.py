@@ -1,3 +1,10 @@
 """Sievelight: dataset curation and detector evaluation as Spark programs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors themselves, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
