@@ -76,7 +76,7 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 def encode(documents: DataFrame, ident: str = "doc_id", text: str = "text", folder: str | None = None, name: str = "byte_bpe_50k") -> DataFrame:
     """(ident, ids array<int>), one row per row of ``documents``; ``ident`` is unique."""
-    split = documents.select(F.col(ident).alias("_id"), pretokens(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
+    split = materialise(documents.select(F.col(ident).alias("_id"), pretokens(F.coalesce(F.col(text), F.lit(""))).alias("_words")), "split")
     counted = split.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     coded = materialise(encode_words(counted, vocabulary(folder, name)), "words")
     frequent = coded.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT)
