@@ -16,6 +16,11 @@ CURVE_BINS = 1024
 EXPERTS = ("community_forensics", "dinov3_l", "dinov3_b")
 
 
+def exact_mean(p: Column) -> Column:
+    """A mean over scores of six decimals that no order of summation changes."""
+    return F.sum(p.cast("decimal(24,6)")).cast("double") / F.nullif(F.count(p), F.lit(0))
+
+
 def valid(p: Column) -> Column:
     """A probability: not null, not NaN, within [0, 1]."""
     return p.isNotNull() & ~F.isnan(p) & p.between(0.0, 1.0)
@@ -84,8 +89,8 @@ def compute(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFra
     """All metrics of a group in one row: class counts and means, accuracy, and those of ``separation``."""
     right = F.when(F.col("p") >= threshold, 1).otherwise(0) == F.col("y")
     simple = rows.groupBy(*keys).agg(
-        F.round(F.avg(F.when(F.col("y") == 0, F.col("p"))), 6).alias("mean_score_real"),
-        F.round(F.avg(F.when(F.col("y") == 1, F.col("p"))), 6).alias("mean_score_fake"),
+        F.round(exact_mean(F.when(F.col("y") == 0, F.col("p"))), 9).alias("mean_score_real"),
+        F.round(exact_mean(F.when(F.col("y") == 1, F.col("p"))), 9).alias("mean_score_fake"),
         F.round(F.count_if(right) / F.count("*"), 9).alias("accuracy"),
     )
     return separation(rows, keys).join(simple, keys)
@@ -136,8 +141,11 @@ def reliability(rows: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
 
 
 def expected_calibration_error(rows: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
-    parts = reliability(rows, keys, bins)
-    return parts.groupBy(*keys).agg(F.round(F.sum(F.col("n") * F.abs(F.col("observed") - F.col("confidence"))) / F.sum("n"), 6).alias("ece"))
+    """Mean over rows of each bin's distance between score and outcome; sums are exact for scores of six decimals."""
+    b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")
+    off = F.abs(F.sum("y").cast("decimal(24,6)") - F.sum(F.col("p").cast("decimal(24,6)")))
+    parts = rows.groupBy(*keys, b).agg(F.count("*").alias("n"), off.alias("off"))
+    return parts.groupBy(*keys).agg(F.round(F.sum("off").cast("double") / F.sum("n"), 9).alias("ece"))
 
 
 def calibration_curve(rows: DataFrame, keys: list[str], bins: int = 8) -> DataFrame:
@@ -151,7 +159,7 @@ def calibration_curve(rows: DataFrame, keys: list[str], bins: int = 8) -> DataFr
     lists = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("quantile")).alias("_edges"))
     joined = rows.join(F.broadcast(lists), keys)  # one short list per group of experts
     b = F.size(F.filter("_edges", lambda e: e < F.col("p"))).cast("bigint").alias("bin")
-    return joined.groupBy(*keys, b).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_predicted"), F.round(F.avg("y"), 6).alias("fraction_positive"))
+    return joined.groupBy(*keys, b).agg(F.count("*").alias("n"), F.round(exact_mean(F.col("p")), 9).alias("mean_predicted"), F.round(F.avg("y"), 9).alias("fraction_positive"))
 
 
 def robust_summary(cells: DataFrame, keys: list[str]) -> DataFrame:

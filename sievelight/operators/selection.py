@@ -84,7 +84,7 @@ def top_errors(rows: DataFrame, k: int) -> DataFrame:
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     from sievelight.operators.hotkeys import exact_quantiles
 
-    simple = rows.groupBy(*keys).agg(F.count(value).alias("count"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    simple = rows.groupBy(*keys).agg(F.count(value).alias("count"), F.round(M.exact_mean(F.col(value)), 9).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = exact_quantiles(rows, keys, value, [0.25, 0.5, 0.75])
     wide = q.groupBy(*keys).agg(*[F.round(F.max(F.when(F.col("q") == x, F.col("quantile"))), 8).alias(f"q{round(x * 100)}") for x in (0.25, 0.5, 0.75)])
     return simple.join(wide, keys)

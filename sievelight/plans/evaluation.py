@@ -57,7 +57,7 @@ sep AS (SELECT {keys}, n_fake + n_real AS n, n_real, n_fake,
 
 def compute_sql(table: str, keys: str) -> str:
     return f"""{curve_sql(table, keys)},
-simple AS (SELECT {keys}, round(avg(p) FILTER (y = 0), 6) AS mean_score_real, round(avg(p) FILTER (y = 1), 6) AS mean_score_fake,
+simple AS (SELECT {keys}, round(CAST(sum(CAST(p AS DECIMAL(24, 6))) FILTER (y = 0) AS DOUBLE) / nullif(count(*) FILTER (y = 0), 0), 9) AS mean_score_real, round(CAST(sum(CAST(p AS DECIMAL(24, 6))) FILTER (y = 1) AS DOUBLE) / nullif(count(*) FILTER (y = 1), 0), 9) AS mean_score_fake,
  round(count(*) FILTER ((p >= 0.5) = (y = 1)) / CAST(count(*) AS DOUBLE), 9) AS accuracy FROM {table} GROUP BY ALL),
 comp AS (SELECT * FROM sep JOIN simple USING ({keys}))"""
 
@@ -135,7 +135,7 @@ def agg_prob_metrics(spark, d):
     return M.probability_metrics(clean(spark, d), ["expert"])
 
 
-ECE = "bins AS (SELECT {keys}, least(floor(p * 10), 9) AS b, count(*) AS n, avg(p) AS conf, avg(y) AS obs FROM {table} GROUP BY ALL), ece AS (SELECT {keys}, round(sum(n * abs(obs - conf)) / sum(n), 6) AS ece FROM bins GROUP BY {keys})"
+ECE = "bins AS (SELECT {keys}, least(floor(p * 10), 9) AS b, count(*) AS n, abs(CAST(sum(y) AS DECIMAL(24, 6)) - sum(CAST(p AS DECIMAL(24, 6)))) AS off FROM {table} GROUP BY ALL), ece AS (SELECT {keys}, round(CAST(sum(off) AS DOUBLE) / sum(n), 9) AS ece FROM bins GROUP BY {keys})"
 
 
 @query(f"{CLEAN}, {ECE.format(keys='expert', table='c')} SELECT * FROM ece")
@@ -144,7 +144,7 @@ def agg_ece(spark, d):
 
 
 @query(f"""{CLEAN}, e AS (SELECT expert, quantile_cont(p, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS q FROM c GROUP BY 1)
-SELECT expert, CAST(len(list_filter(q, lambda x: x < p)) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS fraction_positive FROM c JOIN e USING (expert) GROUP BY ALL""")
+SELECT expert, CAST(len(list_filter(q, lambda x: x < p)) AS BIGINT) AS bin, count(*) AS n, round(CAST(sum(CAST(p AS DECIMAL(24, 6)))  AS DOUBLE) / nullif(count(*) , 0), 9) AS mean_predicted, round(avg(y), 9) AS fraction_positive FROM c JOIN e USING (expert) GROUP BY ALL""")
 def agg_calibration_curve(spark, d):
     return M.calibration_curve(clean(spark, d), ["expert"])
 
@@ -267,7 +267,7 @@ def set_intersect(spark, d):
     return data.where("expert = 'dinov3_l'").select("row_id").intersect(data.where("expert = 'dinov3_b'").select("row_id"))
 
 
-@query(f"""{CLEAN} SELECT expert, count(*) AS count, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std, min(p) AS min, round(quantile_cont(p, 0.25), 8) AS q25, round(quantile_cont(p, 0.5), 8) AS q50, round(quantile_cont(p, 0.75), 8) AS q75, max(p) AS max FROM c GROUP BY 1""")
+@query(f"""{CLEAN} SELECT expert, count(*) AS count, round(CAST(sum(CAST(p AS DECIMAL(24, 6)))  AS DOUBLE) / nullif(count(*) , 0), 9) AS mean, round(stddev_samp(p), 6) AS std, min(p) AS min, round(quantile_cont(p, 0.25), 8) AS q25, round(quantile_cont(p, 0.5), 8) AS q50, round(quantile_cont(p, 0.75), 8) AS q75, max(p) AS max FROM c GROUP BY 1""")
 def agg_describe(spark, d):
     return S.describe(clean(spark, d), ["expert"], "p")
 
@@ -307,12 +307,12 @@ def win_best_epoch(spark, d):
     return S.best_epoch(history, "epoch", "roc_auc")
 
 
-@query("""WITH h AS (SELECT condition, CAST(scored_at AS DATE) AS day, avg(pred) AS m FROM predictions WHERE pred IS NOT NULL AND NOT isnan(pred) AND scored_at IS NOT NULL AND condition IS NOT NULL GROUP BY 1, 2)
-SELECT condition, round(arg_min(m, day), 6) AS first_mean, round(arg_max(m, day), 6) AS last_mean, count(*) AS days FROM h GROUP BY 1""")
+@query("""WITH h AS (SELECT condition, CAST(scored_at AS DATE) AS day, CAST(sum(CAST(pred AS DECIMAL(24, 6))) AS DOUBLE) / count(*) AS m FROM predictions WHERE pred IS NOT NULL AND NOT isnan(pred) AND scored_at IS NOT NULL AND condition IS NOT NULL GROUP BY 1, 2)
+SELECT condition, round(arg_min(m, day), 9) AS first_mean, round(arg_max(m, day), 9) AS last_mean, count(*) AS days FROM h GROUP BY 1""")
 def win_first_last(spark, d):
     p = spark.read.parquet(f"{d}/predictions.parquet").where("pred IS NOT NULL AND NOT isnan(pred) AND scored_at IS NOT NULL AND condition IS NOT NULL")
-    h = p.groupBy("condition", F.to_date("scored_at").alias("day")).agg(F.avg("pred").alias("m"))
-    return h.groupBy("condition").agg(F.round(F.min_by("m", "day"), 6).alias("first_mean"), F.round(F.max_by("m", "day"), 6).alias("last_mean"), F.count("*").alias("days"))
+    h = p.groupBy("condition", F.to_date("scored_at").alias("day")).agg(M.exact_mean(F.col("pred")).alias("m"))
+    return h.groupBy("condition").agg(F.round(F.min_by("m", "day"), 9).alias("first_mean"), F.round(F.max_by("m", "day"), 9).alias("last_mean"), F.count("*").alias("days"))
 
 
 @query("SELECT condition, count(*) FILTER (upper(trim(verdict)) = 'FAKE') AS fake, count(*) FILTER (upper(trim(verdict)) = 'REAL') AS real, count(*) FILTER (verdict IS NULL OR upper(trim(verdict)) NOT IN ('FAKE', 'REAL')) AS skipped FROM predictions GROUP BY 1")
