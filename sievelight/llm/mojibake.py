@@ -87,9 +87,9 @@ def features(word: str) -> np.ndarray:
 
 
 def bare(word: str) -> str:
-    """A word in lower case without what isn't a letter at its ends."""
+    """A word in lower case without what isn't a letter at its ends; a word of digits and signs as it is."""
     at = [i for i, c in enumerate(word) if c.isalpha()]
-    return word[at[0] : at[-1] + 1].lower() if at else ""
+    return word[at[0] : at[-1] + 1].lower() if at else word if any(c.isdigit() for c in word) else ""
 
 
 DIGITS = str.maketrans("123456789", "000000000")
