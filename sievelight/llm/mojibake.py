@@ -5,13 +5,15 @@ hashed byte bigrams is trained on words of the corpus that are garbled here, syn
 words as they are; it predicts a word's chain. The prediction is inverted and verified: the word must encode in the encoding
 it was read in and decode, strictly, in the one it was written in, and what comes out must itself be classified as clean.
 Strict UTF-8 proves itself; between single-byte encodings almost anything decodes, so there what comes out must also be a
-word that the clean sample knows, or the document must hold such a word of the same chain besides.
+word that the documents' clean words hold more than once, or the document must hold such a word of the same chain besides.
 Only words with characters beyond ASCII are looked at, as no chain here changes ASCII. Words with the replacement character
 are garbled beyond repair: found, not restored.
 
-Training takes the words of at most SAMPLE documents (a bounded sample by hash, collected with their counts); words found
-garbled are taken out of the clean class and training repeats. Prediction covers all documents and whole texts, in Arrow
-batches without a shuffle; each task scores a distinct word once.
+Training of the bigrams takes the words of at most SAMPLE documents (a bounded sample by hash, collected with their counts);
+words found garbled are taken out of the clean class and training repeats. Which words are known is counted over all
+documents: their distinct words are scored once, originals of single-byte candidates are joined to the counts, words so
+found garbled are taken out of the counts and the lookup repeats. Prediction covers all documents and whole texts, in Arrow
+batches; only words that may be garbled are shuffled, and of these only the unproven are joined.
 
 Defined results: null, empty and ASCII texts are clean; copies are judged alike; other columns are ignored.
 """
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.session import materialise
+
 #: Documents and distinct words that training may see.
 SAMPLE, MOST_WORDS = 20_000, 100_000
 BUCKETS = 1 << 14
@@ -188,36 +192,100 @@ class Classifier:
         return [(w, x[0], x[1]) for w, x in out.items() if x]
 
 
+def words_of(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, w): the words beyond ASCII of every document that has any, as often as they occur."""
+    held = documents.select(F.col(ident).alias("_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
+    return materialise(held.where(F.size("w") > 0), "words")
+
+
+def leveled(held: DataFrame) -> DataFrame:
+    return held.select(F.explode("w").alias("w")).select(F.translate("w", "123456789", "000000000").alias("w"))
+
+
 def train(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> Classifier:
     """A classifier from a bounded sample: words of the SAMPLE documents of least hash."""
-    picked = documents.select(F.xxhash64(ident).alias("h"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    picked = picked.orderBy("h").limit(SAMPLE)
-    counts = picked.select(F.explode("w").alias("w")).select(F.translate("w", "123456789", "000000000").alias("w")).where(F.octet_length("w") <= 200).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
+    return fit(words_of(documents, ident, text))
+
+
+def fit(held: DataFrame) -> Classifier:
+    picked = held.orderBy(F.xxhash64("_id")).limit(SAMPLE)
+    counts = leveled(picked).where(F.octet_length("w") <= 200).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
     return Classifier.train(Counter({r["w"]: r["n"] for r in counts.collect()}))
 
 
+def vocabulary(held: DataFrame, model: Classifier) -> DataFrame:
+    """(w, n, own, options): each distinct word of all documents, its count, its bare form, and of its candidates whether the chain proves itself, else the original's bare form."""
+    shared = held.sparkSession.sparkContext.broadcast((model.logp, model.prior))
+    option = pa.struct([("proven", pa.bool_()), ("key", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Classifier(*shared.value, frozenset())
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            options = [[{"proven": sure, "key": None if sure or len(key := bare(back)) < 2 else key} for _, back, sure in own.candidates(w)] for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(map(bare, words), pa.string()), pa.array(options, pa.list_(option))], names=["w", "n", "own", "options"])
+
+    counts = leveled(held).groupBy("w").agg(F.count("*").alias("n"))
+    return materialise(counts.mapInArrow(run, "w string, n bigint, own string, options array<struct<proven: boolean, key: string>>"), "vocabulary")
+
+
+def looked_up(words: DataFrame, rounds: int = 3) -> DataFrame:
+    """(w, hits): the words of a vocabulary with candidates whose originals are known, and those candidates' places."""
+    words = words.withColumn("proven", F.exists("options", lambda o: o["proven"]))
+    asked = words.where(F.size("options") > 0).select("w", "n", "own", "proven", F.posexplode("options").alias("at", "o"))
+    asked = materialise(asked.select("w", "n", "own", "proven", "at", "o.key").where("key IS NOT NULL"), "asked")
+    totals = words.where("NOT proven").groupBy(F.col("own").alias("key")).agg(F.sum("n").alias("n"))
+    totals = materialise(totals.join(asked.select("key").distinct(), "key", "leftsemi"), "totals")
+    known = totals
+    for _ in range(rounds - 1):
+        garbled = asked.where("NOT proven").join(known.where("n > 1"), "key", "leftsemi").select("w", "n", "own").distinct()
+        less = garbled.groupBy(F.col("own").alias("key")).agg(F.sum("n").alias("less"))
+        known = materialise(totals.join(less, "key", "left").select("key", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "known")
+    return asked.join(known.where("n > 1"), "key", "leftsemi").groupBy("w").agg(F.collect_set("at").alias("hits"))
+
+
 def judged(documents: DataFrame, ident: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
-    """(ident, words, chains): per garbled document its garbled words, as struct(word, original), and the chains' names."""
-    model = model or train(documents, ident, text)
-    shared = documents.sparkSession.sparkContext.broadcast((model.logp, model.prior, model.known))
-    held = documents.select(F.col(ident).alias("_id"), F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("w")).where(F.size("w") > 0)
-    pair = pa.struct([("word", pa.string()), ("original", pa.string())])
+    """(ident, words, chains): per garbled document its garbled words, as struct(word, original), and the chains' names.
+
+    A model gives the bigrams; known words are those of all the documents."""
+    held = words_of(documents, ident, text)
+    model = model or fit(held)
+    hits = looked_up(vocabulary(held, model))
+    shared = documents.sparkSession.sparkContext.broadcast((model.logp, model.prior))
+    option = pa.struct([("k", pa.int32()), ("original", pa.string()), ("sure", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Classifier(*shared.value)
+        own = Classifier(*shared.value, frozenset())
         for batch in batches:
-            ids, pairs, chains = [], [], []
+            ids, places, found, plain, options = [], [], [], [], []
             for ident_, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bad = own.judge(words)
-                if bad:
-                    ids.append(ident_)
-                    pairs.append([{"word": w, "original": o} for w, _, o in bad])
-                    chains.append(sorted({"lossy" if k < 0 else ">".join(f"{a}>{b}" for a, b in CHAINS[k - 1]) for _, k, _ in bad}))
+                for i, w in enumerate(words):
+                    if c := own.candidates(w):
+                        ids.append(ident_)
+                        places.append(i)
+                        found.append(w)
+                        plain.append(level(w))
+                        options.append([{"k": k, "original": o, "sure": sure} for k, o, sure in c])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pairs, pa.list_(pair)), pa.array(chains, pa.list_(pa.string()))], names=["_id", "words", "chains"])
-
-    out = held.mapInArrow(run, "_id bigint, words array<struct<word: string, original: string>>, chains array<string>")
-    return out.withColumnRenamed("_id", ident)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.string()), pa.array(plain, pa.string()), pa.array(options, pa.list_(option))], names=["_id", "i", "word", "w", "options"])
+
+    maybe = held.select("_id", F.array_distinct("w").alias("w")).mapInArrow(run, "_id bigint, i int, word string, w string, options array<struct<k: int, original: string, sure: boolean>>")
+    maybe = materialise(maybe, "maybe")
+    first = F.col("options")[0]["sure"]  # needs no lookup, and such a word may be in many documents
+    asked = maybe.where(~first).join(hits, "w", "left")
+    asked = asked.withColumn("options", F.transform("options", lambda o, at: o.withField("sure", o["sure"] | F.coalesce(F.array_contains("hits", at), F.lit(False)))))
+    columns = ["_id", F.struct("i", "word", "options").alias("x")]
+    x = maybe.where(first).select(*columns).unionByName(asked.select(*columns)).groupBy("_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    sure = lambda e: F.get(F.filter(e["options"], lambda o: o["sure"]), F.lit(0))
+    x = x.withColumn("found", F.filter(F.transform("x", lambda e: sure(e)["k"]), lambda k: k > 0))
+    besides = lambda e: F.get(F.filter(e["options"], lambda o: F.array_contains("found", o["k"])), F.lit(0))
+    x = x.withColumn("bad", F.filter(F.transform("x", lambda e: F.struct(e["word"].alias("word"), F.coalesce(sure(e), besides(e)).alias("o"))), lambda e: e["o"].isNotNull()))
+    names = F.array(*map(F.lit, ["lossy", *(">".join(f"{a}>{b}" for a, b in chain) for chain in CHAINS)]))
+    return x.where(F.size("bad") > 0).select(
+        F.col("_id").alias(ident),
+        F.transform("bad", lambda e: F.struct(e["word"].alias("word"), e["o"]["original"].alias("original"))).alias("words"),
+        F.array_sort(F.array_distinct(F.transform("bad", lambda e: F.get(names, F.greatest(e["o"]["k"], F.lit(0)))))).alias("chains"),
+    )
 
 
 def restored(documents: DataFrame, ident: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:

@@ -123,6 +123,25 @@ def test_garbled_are_found_and_restored(spark, corpus):
     assert mojibake.judged(df.limit(0)).count() == 0
 
 
+def test_originals_are_looked_up_in_all_documents(spark, corpus, monkeypatch):
+    """Single-byte words whose originals are in no sampled document; a bounded sample may only limit the bigrams."""
+    rare = "Übergrößenträger"
+    bad = mojibake.garble(rare, (("cp1252", "cp850"),))
+    texts = dict(enumerate([*corpus[:100], *[f"the {rare} here"] * 3, f"the {bad} here"]))
+    sample = [r["id"] for r in spark.range(len(texts)).orderBy(F.xxhash64("id")).limit(60).collect()]
+    swapped = dict(zip(range(100, 104), [i for i in range(103, -1, -1) if i not in sample][:4]))  # ids beyond the sample
+    for i, j in swapped.items():
+        texts[i], texts[j] = texts[j], texts[i]
+    at = next(i for i, t in texts.items() if bad in t)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(mojibake, "SAMPLE", 60)
+    model = mojibake.train(df)
+    assert rare.lower() not in model.known and [x[1] for x in model.candidates(bad)][:1] == [rare]
+    assert [r["words"] for r in mojibake.judged(df).collect()] == [[(bad, rare)]]
+    back = mojibake.restored(df).collect()
+    assert [(r["doc_id"], r["text"], r["whole"]) for r in back] == [(at, f"the {rare} here", True)]
+
+
 def test_held_out_accuracy(corpus):
     """Chains told apart on words the classifier was not trained with."""
     from collections import Counter
