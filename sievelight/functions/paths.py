@@ -123,10 +123,17 @@ def unescape(text: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
+    """Seconds, minutes from 90 s, hours with tenths from 90 m. Exact halves go to the even digit; of hours the quotient as the double it is counts."""
+    h = seconds / 3600
+    k = F.floor(h * 10)
+    above = (16 * h - (2 * k + 1)) + 4 * h  # 20 h - (2 k + 1): every step is exact in doubles
+    tenths = k + F.when((above > 0) | (above == 0) & (k % 2 == 1), 1).otherwise(0)
+    hours = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("h"))
     return (
         F.when(seconds < 90, F.concat(F.bround(seconds, 0).cast("bigint").cast("string"), F.lit("s")))
         .when(seconds < 5400, F.concat(F.bround(seconds / 60, 0).cast("bigint").cast("string"), F.lit("m")))
-        .otherwise(F.format_string("%.1fh", seconds / 3600))
+        .when(h < 1e14, hours)
+        .otherwise(F.format_string("%.1fh", h))
     )
 
 

@@ -189,6 +189,21 @@ def test_paths(spark):
     assert one(spark, P.shorten(F.lit("abcdefgh"), 6)) == "...fgh"
 
 
+def test_durations_of_all_seconds(spark, tmp_path):
+    """As Python formats them, exact half minutes and half tenths of hours included, and none left out."""
+    from sievelight.plans.paths import QUERIES
+
+    def text(s):
+        return f"{s:.0f}s" if s < 90 else f"{s / 60:.0f}m" if s < 5400 else f"{s / 3600:.1f}h"
+
+    ids = [*range(12_000), *range(180, 2_000_000, 360), 10**9 + 20]
+    spark.createDataFrame([(i,) for i in ids], "row_id bigint").dropDuplicates().write.parquet(f"{tmp_path}/manifest.parquet")
+    got = {r["row_id"]: r["duration"] for r in QUERIES["fn_duration"](spark, str(tmp_path)).collect()}
+    assert got == {i: text(i) for i in ids}
+    some = [5399.5, 8100.0, 8100.0000001, 8099.9999999, 9900.0, 12.5, 13.5, 89.999]
+    assert [one(spark, P.duration(F.lit(x))) for x in some] == [text(x) for x in some]
+
+
 def test_losses_and_schedules(spark):
     z, y = 0.7, 1.0
     p = 1 / (1 + math.exp(-z))
