@@ -69,8 +69,6 @@ def components(rows: DataFrame, ident: str, links: list[list[str]], aggregates:
             full = full & F.col(c).isNotNull()
         linked = full if linked is None else linked | full
     tuples = rows.where(linked).groupBy(*columns).agg(F.min(ident).alias("node"), F.count("*").alias("rows"), *(aggregates or []))
-    if len(links) == 1:  # a tuple is the key itself: each is one star, stable before the first exchange
-        return tuples.withColumn("component", F.col("node"))
     tuples = materialise(tuples, "tuples")
     edges = None
     for link in links:

@@ -151,3 +151,15 @@ def test_percentiles_combine_by_day(spark):
         assert r["n"] == len(values) and r["rank_error"] < 0.01 * len(values)
         assert np.searchsorted(values, r["value"], "left") + 1 - r["rank_error"] <= rank <= np.searchsorted(values, r["value"], "right") + r["rank_error"]
     assert percentiles.percentiles(percentiles.combine(percentiles.sketch(df.limit(0), ["name", "day"], ["v"]), ["name", "metric"]), ["name", "metric"], [0.5]).count() == 0
+
+
+def test_one_link_goes_through_the_exchange(spark, monkeypatch):
+    seen = []
+    exchange = splits.hash_to_min
+    monkeypatch.setattr(splits, "hash_to_min", lambda edges: seen.append(edges.count()) or exchange(edges))
+    rows = [(5, "a", "x", "train"), (3, "a", "x", "val"), (7, "a", "y", "train"), (8, None, "x", "val"), (9, "a", None, "val"), (2, "b", "x", "val"), (4, "b", "x", "val")]
+    df = spark.createDataFrame(rows, "row_id bigint, source string, generator string, split string")
+    assert [r[0] for r in splits.torn_groups(df).collect()] == [3]
+    got = {(r["source"], r["generator"]): (r["component"], r["rows"]) for r in splits.components(df, "row_id", [["source", "generator"]]).collect()}
+    assert got == {("a", "x"): (3, 2), ("a", "y"): (7, 1), ("b", "x"): (2, 2)}
+    assert seen == [3, 3] and splits.torn_groups(df.limit(0)).count() == 0
