@@ -131,8 +131,9 @@ s AS (SELECT candidate, sum(n) AS n, sum(pos) AS p, coalesce(sum(n) FILTER (x),
 e AS (SELECT candidate, round(abs(tn / CAST(n AS DOUBLE) - 0.3) + abs((p - tp) / CAST(n - tn AS DOUBLE) - p / CAST(n AS DOUBLE)) + abs(tp / CAST(tn AS DOUBLE) - p / CAST(n AS DOUBLE)), 9) AS error, CAST(tn AS BIGINT) AS rows FROM s WHERE tp > 0 AND tp < tn AND p - tp > 0 AND p - tp < n - tn)
 SELECT CAST(candidate AS INT) AS candidate, error, rows FROM e ORDER BY error, candidate LIMIT 1""")
 def split_group_holdout(spark, d):
+    """The best of the operator's 500 candidates; the SQL weighs the first 100 of them only."""
     g = F.concat_ws(" / ", F.coalesce("source", F.lit("unknown")), F.coalesce("generator", F.lit("unknown")))
-    return S.group_holdout(labelled(spark, d).select("label", g.alias("g")), "g", "label", 0.3, 100)
+    return S.group_holdout(labelled(spark, d).select("label", g.alias("g")), "g", "label", 0.3)
 
 
 @query(f"""{LAB} SELECT CAST('0x' || left(sha256('1337:' || {GROUP}), 8) AS BIGINT) % 5 AS fold, label, count(*) AS n, count(DISTINCT {GROUP}) AS groups FROM lab GROUP BY 1, 2""")

@@ -204,6 +204,30 @@ def test_durations_of_all_seconds(spark, tmp_path):
     assert [one(spark, P.duration(F.lit(x))) for x in some] == [text(x) for x in some]
 
 
+def test_group_holdout_weighs_500_candidates(spark, tmp_path, monkeypatch):
+    import hashlib
+    from collections import Counter
+
+    from sievelight.plans import sampling as plan
+
+    rng = random.Random(8)
+    kept = [(str(i), f"g{rng.randrange(40)}", rng.randrange(2)) for i in range(900)]
+    labelled = spark.createDataFrame(kept, "source string, generator string, label int").withColumn("source", F.lit("s"))
+    monkeypatch.setattr(plan, "labelled", lambda spark, d: labelled)
+    n, pos = Counter(f"s / {g}" for _, g, _ in kept), Counter(f"s / {g}" for _, g, y in kept if y)
+    total, positive, tried = len(kept), sum(pos.values()), []
+    for c in range(500):
+        inside = [g for g in n if int(hashlib.sha256(f"1337:{c}:{g}".encode()).hexdigest()[:8], 16) < int(0.3 * 2**32)]
+        tn, tp = sum(n[g] for g in inside), sum(pos[g] for g in inside)
+        dn, dp = total - tn, positive - tp
+        if 0 < tp < tn and 0 < dp < dn:
+            tried.append((round(abs(tn / total - 0.3) + abs(dp / dn - positive / total) + abs(tp / tn - positive / total), 9), c, tn))
+    error, candidate, size = min(tried)
+    assert candidate >= 100  # else the first hundred would do
+    got = plan.split_group_holdout(spark, str(tmp_path)).first()
+    assert (got["candidate"], got["rows"]) == (candidate, size) and got["error"] == pytest.approx(error)
+
+
 def test_losses_and_schedules(spark):
     z, y = 0.7, 1.0
     p = 1 / (1 + math.exp(-z))
@@ -327,6 +351,7 @@ def test_resume_and_stream_averages(spark, tmp_path):
     assert incremental.once(df.union(df), ["k", "ts"], "ts", "1 hour").count() == 12
 
 
+
 def test_plans_stay_native_and_pushed_down(spark, tmp_path):
     p = str(tmp_path / "m")
     spark.createDataFrame([(1, "val", "x")], "row_id bigint, split string, other string").write.parquet(p)
