@@ -351,6 +351,21 @@ def test_resume_and_stream_averages(spark, tmp_path):
     assert incremental.once(df.union(df), ["k", "ts"], "ts", "1 hour").count() == 12
 
 
+def test_averages_are_in_the_query(spark, tmp_path):
+    from sievelight.plans.runs import QUERIES
+
+    rng = random.Random(6)
+    events = [(u, f"2024-01-{1 + i // 5:02d} {i % 5:02d}:00:00", rng.uniform(-5, 5)) for u in (1, 2, 3) for i in range(10 * u)]
+    df = spark.createDataFrame(events, "user_id bigint, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for u, _, v in events:
+        n, ema = want.get(u, (0, v))
+        want[u] = (n + 1, 0.9 * ema + 0.1 * v)
+    got = {r["user_id"]: r for r in QUERIES["inc_ema"](spark, str(tmp_path)).collect()}
+    assert {u: r["n"] for u, r in got.items()} == {u: n for u, (n, _) in want.items()}
+    assert {u: r["ema"] for u, r in got.items()} == pytest.approx({u: e for u, (_, e) in want.items()})
+
 
 def test_plans_stay_native_and_pushed_down(spark, tmp_path):
     p = str(tmp_path / "m")
