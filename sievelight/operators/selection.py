@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sievelight.operators import metrics as M
+from sievelight.session import materialise
 
 CV_METRICS = ("accuracy", "precision", "recall", "specificity", "f1", "balanced_accuracy", "mcc", "log_loss", "brier")
 #: The targets of the quality gates.
@@ -49,17 +53,57 @@ def select_best(cv: DataFrame) -> DataFrame:
     return cv.orderBy(F.desc("mean_balanced_accuracy"), "mean_log_loss", "expert", "threshold").limit(1).select("expert", "threshold", "mean_balanced_accuracy", "mean_log_loss")
 
 
-def fit_temperature(rows: DataFrame, keys: list[str], low: float = 0.25, step: float = 0.05, steps: int = 76) -> DataFrame:
-    """Per key the temperature of a grid that gives the least mean cross-entropy; distinct (label, logit) pairs are counted first."""
+def fit_temperature(rows: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
+    """Per key the temperature of least mean cross-entropy; distinct (label, logit) pairs are counted first.
+
+    The loss is convex in 1 / temperature, so its slope is followed to zero by Newton's steps within a bracket, without a
+    grid. Least is 1e-6, where classes are separated; infinity where no finite temperature is best (no better than chance).
+    """
+    spark, least = rows.sparkSession, 1e-6
     p = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-6)), F.lit(1e-6))
     counted = rows.select(*keys, "y", (F.ln(p) - F.ln(1 - p)).alias("z")).groupBy(*keys, "y", "z").agg(F.count("*").alias("n"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k")
-    at = counted.select("*", grid).withColumn("temperature", F.lit(low) + F.col("k") * F.lit(step))
-    x = F.col("z") / F.col("temperature")
-    loss = F.greatest(x, F.lit(0.0)) - x * F.col("y") + F.ln(1 + F.exp(-F.abs(x)))
-    sums = at.groupBy(*keys, "temperature").agg(F.round(F.sum(F.col("n") * loss) / F.sum("n"), 9).alias("loss"))
-    best = sums.groupBy(*keys).agg(F.min(F.struct("loss", "temperature")).alias("b"))
-    return best.select(*keys, F.round("b.temperature", 2).alias("temperature"), F.round("b.loss", 6).alias("loss"))
+    counted = materialise(counted.where("y IS NOT NULL AND z IS NOT NULL"), "counted")
+    names = counted.select(*keys).schema
+
+    def at(tried: dict[tuple, float]) -> dict[tuple, tuple[float, float, float]]:
+        """By key: slope, curvature and loss at its inverse temperature."""
+        points = spark.createDataFrame([(*k, b) for k, b in tried.items()], StructType([*names, StructField("b", DoubleType())]))
+        x, n = F.col("z") * F.col("b"), F.col("n")
+        e = F.exp(-F.abs(x))
+        q = F.when(x >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
+        loss = F.greatest(x, F.lit(0.0)) - x * F.col("y") + F.log1p(e)
+        mean = lambda c: F.sum(n * c) / F.sum("n")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        sums = counted.join(F.broadcast(points.withColumnsRenamed({k: f"_{k}" for k in keys})), same).groupBy(*keys).agg(mean(F.col("z") * (q - F.col("y"))).alias("g"), mean(F.col("z") * F.col("z") * e / (1 + e) / (1 + e)).alias("h"), mean(loss).alias("loss"))
+        return {tuple(r[k] for k in keys): (r["g"], r["h"], r["loss"]) for r in sums.collect()}
+
+    every = [tuple(r) for r in counted.select(*keys).distinct().collect()]
+    low, high, done = at(dict.fromkeys(every, 0.0)), at(dict.fromkeys(every, 1 / least)), {}
+    for k in every:
+        if low[k][0] >= 0:
+            done[k] = (math.inf, low[k][2])
+        elif high[k][0] <= 0:
+            done[k] = (least, high[k][2])
+    now = {k: 1.0 for k in every if k not in done}
+    bracket, last = {k: (least**2, 1 / least) for k in now}, dict.fromkeys(now, math.inf)
+    for _ in range(rounds):
+        if not now:
+            break
+        then = {}
+        for k, (g, h, loss) in at(now).items():
+            b, (lo, hi) = now[k], bracket[k]
+            lo, hi = bracket[k] = (lo, b) if g > 0 else (b, hi)
+            newton = b - g / h if h > 0 else b
+            if g == 0 or abs(newton - b) <= 1e-9 * b or hi - lo <= 1e-9 * lo:
+                done[k] = (1 / b, loss)
+            else:
+                then[k] = newton if lo < newton < hi and abs(g) < last[k] / 2 else math.sqrt(lo * hi)
+                last[k] = abs(g)
+        now = then
+    if now:
+        raise ArithmeticError(f"no temperature found after {rounds} rounds: {list(now)}")
+    out = spark.createDataFrame([(*k, t, loss) for k, (t, loss) in done.items()], StructType([*names, StructField("temperature", DoubleType()), StructField("loss", DoubleType())]))
+    return out.select(*keys, F.round("temperature", 6).alias("temperature"), F.round("loss", 6).alias("loss"))
 
 
 def judged(rows: DataFrame, threshold: float) -> DataFrame:

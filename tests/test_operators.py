@@ -228,6 +228,20 @@ def test_group_holdout_weighs_500_candidates(spark, tmp_path, monkeypatch):
     assert (got["candidate"], got["rows"]) == (candidate, size) and got["error"] == pytest.approx(error)
 
 
+def test_temperatures_have_no_bounds(spark):
+    """Two logits: with a share s of right ones the best temperature is logit(p) / logit(s)."""
+    def rows(name, p, right, wrong):
+        return [(name, 1, p)] * right + [(name, 0, p)] * wrong
+
+    kept = rows("over", 0.999, 55, 45) + rows("under", 0.6, 99, 1) + rows("fine", 0.8, 8, 2) + rows("parted", 0.7, 5, 0) + rows("chance", 0.9, 5, 5) + rows("wrong", 0.9, 2, 5) + rows(None, 0.8, 8, 2)
+    got = {r["expert"]: r["temperature"] for r in selection.fit_temperature(spark.createDataFrame(kept, "expert string, y bigint, p double"), ["expert"]).collect()}
+    logit = lambda p: math.log(p / (1 - p))
+    want = {"over": logit(0.999) / logit(0.55), "under": logit(0.6) / logit(0.99), "fine": 1.0, None: 1.0}
+    assert want["over"] > 4 and want["under"] < 0.25
+    assert {k: got[k] for k in want} == pytest.approx(want, abs=1e-6)
+    assert got["parted"] == 1e-6 and got["chance"] == got["wrong"] == math.inf
+
+
 def test_losses_and_schedules(spark):
     z, y = 0.7, 1.0
     p = 1 / (1 + math.exp(-z))
