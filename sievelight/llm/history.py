@@ -2,7 +2,8 @@
 
 What has been accepted is kept as blocking-key tables in the shared folder, bucketed and sorted by key: one by SHA-256,
 one by the keys of ``hamming.keys``. A delivery (one batch or several, taken in order) probes them: only its own keys are
-shuffled, to the buckets of the tables, and history is neither shuffled nor sorted nor compared with itself.
+shuffled, to the buckets of the tables, and history is neither shuffled nor sorted nor compared with itself. ``clusters`` is
+not incremental: it does compare history with itself.
 
 A row is a case if it matches an accepted row before it, else it is accepted; so acceptance depends on order. Rows with the
 same pair of hashes collapse first: all but the first of them are cases, whatever befalls the first. Most of the rest is
@@ -12,7 +13,8 @@ least the first of every cluster.
 
 ``clusters`` scores the links of each case by field weights learned from the links' agreement patterns (an EM fit of
 match and chance agreement, as in probabilistic record linkage), takes the best as its representative, and merges the
-representatives that one case joins by a union-find mapping, which only the clusters concerned enter.
+representatives that one case joins by Hash-to-Min. It recomputes pairs, weights and classes from all rows at every call; no
+mapping of representatives is kept, and ``ingest`` updates no cluster.
 
 Defined results: hashes that identify nothing match nothing, so a row without either is accepted; repeated rows are cases
 after the first; an empty delivery or history gives no case; other columns are ignored.
