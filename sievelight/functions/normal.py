@@ -25,9 +25,24 @@ def _hex_digits(value: Column, digits: int) -> Column:
     return F.when((F.length(text) == digits) & (F.translate(text, "0123456789abcdef", "") == ""), text)
 
 
+def _hex_bytes(value: Column, digits: int) -> Column:
+    """The bytes of so many hex digits. A value of just these is decoded as it is, all others are brought to their digits first."""
+    return F.coalesce(F.when(F.length(value) == digits, F.unhex(value)), F.unhex(_hex_digits(value, digits)))
+
+
+def sha256_bytes(value: Column) -> Column:
+    """The 32 bytes of a SHA-256 value in any spelling; null where it identifies nothing."""
+    return _hex_bytes(value, 64)
+
+
+def phash_bytes(value: Column) -> Column:
+    """The 8 bytes of a perceptual hash in any spelling; null where it identifies nothing."""
+    return _hex_bytes(value, 16)
+
+
 def sha256_of(value: Column) -> Column:
     """The 64 hex digits of a SHA-256 value in any spelling; null where it identifies nothing."""
-    return _hex_digits(value, 64)
+    return F.lower(F.hex(sha256_bytes(value)))
 
 
 def phash_of(value: Column) -> Column:
@@ -35,7 +50,8 @@ def phash_of(value: Column) -> Column:
 
     Two halves are converted, for a conversion of 16 digits at once overflows above 2^63.
     """
-    found = _hex_digits(value, 16)
+    plain = (F.length(value) == 16) & F.unhex(value).isNotNull()
+    found = F.when(plain, value).otherwise(_hex_digits(value, 16))
     high = F.conv(F.substring(found, 1, 8), 16, 10).cast("bigint")
     low = F.conv(F.substring(found, 9, 8), 16, 10).cast("bigint")
     return F.shiftleft(high, 32).bitwiseOR(low)
@@ -44,7 +60,7 @@ def phash_of(value: Column) -> Column:
 def split_of(value: Column) -> Column:
     """One of SPLITS; null where the value names none."""
     name = F.replace(_bare(value), F.lit("-"), F.lit("_"))
-    return F.when(name.isin(*SPLITS), name)
+    return F.when(value.isin(*SPLITS), value).otherwise(F.when(name.isin(*SPLITS), name))
 
 
 def name_of(value: Column) -> Column:
