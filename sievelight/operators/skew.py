@@ -74,3 +74,35 @@ def bucket_rank(rows: DataFrame, keys: list[str], order: Column, bucket: Column)
     joined = drawn.join(start, on).drop(*[f"_k{i}" for i in range(len(names))])
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_d"))
     return joined.withColumn("place", (F.col("_at") + inside).cast("bigint")).drop("_d", "_b", "_at")
+
+
+#: Buckets by which hot keys are looked for.
+KEY_BUCKETS = 1 << 16
+
+
+def key_bucket(on: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(KEY_BUCKETS))
+
+
+def hot_buckets(big: DataFrame, on: list[str]) -> list[int]:
+    """Buckets of key hashes that hold more than one in HOT_SHARE rows, so fewer than HOT_SHARE; every hot key lies in one.
+
+    Counts are combined map-side, so at most KEY_BUCKETS rows leave a task.
+    """
+    some = F.lit(True)
+    for c in on:
+        some = some & F.col(c).isNotNull()
+    counts = big.where(some).groupBy(key_bucket(on).alias("b")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return [r["b"] for r in counts.crossJoin(F.broadcast(total.withColumnRenamed("n", "total"))).where(F.col("n") * HOT_SHARE > F.greatest("total", F.lit(1_000_000))).collect()]
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], hot: list[int], salts: int = 64) -> DataFrame:
+    """Inner join on ``on``. Rows of ``big`` under a key in a hot bucket are spread over ``salts`` tasks, to each of which go copies of the few rows of ``small`` under such keys."""
+    if not hot:
+        return big.join(small, on)
+    is_hot = key_bucket(on).isin(hot)
+    every = [c for c in big.columns if c not in on]
+    left = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*(every or on)), F.lit(salts))).otherwise(F.lit(0).cast("bigint")))
+    right = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")

@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint folder exists (tests on one machine) is a folder of our own made and set.
+    checkpoint folder exists is a folder of our own made and set, and only under a local master.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if not current:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sievelight-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
@@ -54,3 +56,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sievelight/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables written into the shared folder that are dropped together, once what was made of them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/sievelight/{uuid.uuid4().hex}"
+        self.written = 0
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialise``."""
+        self.written += 1
+        path = f"{self.path}/{self.written}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
