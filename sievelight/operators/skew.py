@@ -84,17 +84,19 @@ def key_bucket(on: list[str]) -> Column:
     return F.pmod(F.xxhash64(*on), F.lit(KEY_BUCKETS))
 
 
-def hot_buckets(big: DataFrame, on: list[str]) -> list[int]:
-    """Buckets of key hashes that hold more than one in HOT_SHARE rows, so fewer than HOT_SHARE; every hot key lies in one.
+def hot_buckets(big: DataFrame, on: list[str], total: int) -> list[int]:
+    """Buckets of key hashes that hold more than one in HOT_SHARE of ``total`` rows, so fewer than HOT_SHARE; every hot key lies in one.
 
-    Counts are combined map-side, so at most KEY_BUCKETS rows leave a task.
+    Counts are combined map-side, so at most KEY_BUCKETS rows leave a task. No key of fewer than 1000 rows is hot.
     """
+    least = max(total // HOT_SHARE, 1000)
+    if total <= least:
+        return []
     some = F.lit(True)
     for c in on:
         some = some & F.col(c).isNotNull()
     counts = big.where(some).groupBy(key_bucket(on).alias("b")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return [r["b"] for r in counts.crossJoin(F.broadcast(total.withColumnRenamed("n", "total"))).where(F.col("n") * HOT_SHARE > F.greatest("total", F.lit(1_000_000))).collect()]
+    return [r["b"] for r in counts.where(F.col("n") > least).collect()]
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], hot: list[int], salts: int = 64) -> DataFrame:
