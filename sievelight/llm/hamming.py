@@ -110,6 +110,10 @@ class Plan:
             ok &= self._first_sub[self._agree(x, self.sub_masks[choice])] == sub
         return ok
 
+    def agreeing(self, x: np.ndarray) -> np.ndarray:
+        """The number of blocks in which two values agree; x is a xor b."""
+        return np.bitwise_count(self._agree(x, self.block_masks).astype(np.uint64)).astype(np.int64)
+
     def tag_of(self, slot: int) -> int:
         return int(slot) >> self.bits
 

@@ -81,7 +81,8 @@ def test_overlaps_are_those_of_the_plain_loop(spark, rows):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
 
 
-def test_all_near_pairs_meet_once_even_where_crowded(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_all_near_pairs_meet_once_even_where_crowded(spark, monkeypatch, blocks):
     monkeypatch.setattr(hamming, "CROWDED_ROWS", 5)
     monkeypatch.setattr(hamming, "CROWDED_SHARE", 1000)
     rng = random.Random(8)
@@ -90,34 +91,75 @@ def test_all_near_pairs_meet_once_even_where_crowded(spark, monkeypatch):
         v = rng.getrandbits(64) & rng.choice([(1 << 64) - 1, (1 << 30) - 1, 0xFF])
         values |= {v, v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6)))}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(v,) for v in signed], "ph bigint")
-    crowded = hamming.crowded_blocks(df, "ph")
+    df = spark.createDataFrame([(v,) for v in [*signed, None]], "ph bigint")
+    crowded = hamming.crowded_blocks(df, "ph", blocks)
     assert any(crowded)
-    words = df.select(F.explode(hamming.keys(F.col("ph"), crowded)).alias("key"), "ph")
-    other = words.select("key", F.col("ph").alias("other"))
-    a, b = F.col("ph"), F.col("other")
-    met = words.join(other, "key").where("ph < other").where(hamming.near(a, b) & hamming.first_meeting(F.col("key"), a, b, True)).select("ph", "other").collect()
-    want = {(x, y) for x in signed for y in signed if x < y and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
-    assert len(met) == len(set(map(tuple, met))) and set(map(tuple, met)) == want
-    # the index of problem 5 takes the same keys
-    sides = df.select("ph", F.lit(True).alias("e"), F.lit(True).alias("t"))
-    keyed = sides.select("e", "t", F.explode(hamming.keys(F.col("ph"), crowded)).alias("key"), "ph")
-    found = [tuple(r) for r in keyed.repartition(3, "key").sortWithinPartitions(F.desc("e")).mapInArrow(overlap._near, "ph bigint, ph_t bigint").collect()]
-    assert len(found) == len(set(found)) and {p for p in found if p[0] < p[1]} == want
+    plan = hamming.plan_for(len(values), crowded, blocks)
+    slots = hamming.packed(df, "ph", plan).groupBy("slot").agg(F.collect_list("phs").alias("phs")).collect()
+    want = {(x, y) for x in values for y in values if x < y and (x ^ y).bit_count() <= 4}
+    by_key, by_index = [], []
+    assert any(plan.tag_of(r["slot"]) >= len(plan.choices) for r in slots)
+    for r in slots:
+        held = hamming.unpacked(r["phs"])
+        for a, b, d in hamming.meetings(plan, plan.tag_of(r["slot"]), held, held, 4):
+            assert all((x ^ y).bit_count() == z for x, y, z in zip(a.tolist(), b.tolist(), d.tolist()))
+            by_key += zip(a.tolist(), b.tolist())
+        for a, b, d, agree in overlap.near_in_shard(plan, r["slot"], held, held):
+            assert all((x ^ y).bit_count() == z for x, y, z in zip(a.tolist(), b.tolist(), d.tolist())) and (agree >= blocks - 4).all()
+            by_index += zip(a.tolist(), b.tolist())
+    for found in (by_key, by_index):
+        assert len(found) == len(set(found)) and {p for p in found if p[0] < p[1]} == want
+
+
+def test_keys_grow_longer_with_the_values():
+    sizes = [hamming.plan_for(n).blocks for n in (10**5, 10**8, 10**9, 10**11, 10**13)]
+    assert sizes == sorted(sizes) and sizes[0] == 6 and sizes[-1] > 7
+
+
+def test_history_goes_on_after_it_is_closed_and_opened(spark, rows, monkeypatch):
+    monkeypatch.setattr(hamming, "CROWDED_ROWS", 5)
+    monkeypatch.setattr(hamming, "CROWDED_SHARE", 1000)
+    monkeypatch.setattr(history, "GROWTH", 2)  # so keys are also chosen anew
+    df = spark.createDataFrame(rows, X.SCHEMA)
+    h = history.begin(df.where("batch_no = 0"))
+    got = set()
+    for b in (1, 2, 3):
+        path = h.path
+        h.close()
+        h = history.History(spark, path=path)
+        got |= {r[0] for r in h.ingest(df.where(f"batch_no = {b}")).collect()}
+    assert got == cases(rows)
+    # each case has a representative that it links, and merged representatives share a root
+    reps = {r["row_id"]: r["rep"] for r in h.table(history.REPS).collect()}
+    assert got - set(reps) == set() and not set(reps.values()) & got
+    roots = {r["node"]: r["root"] for r in h.roots().collect()}
+    assert all(roots.get(r, r) == r for r in roots.values())
+
+
+def test_an_unfinished_delivery_is_not_seen(spark, rows):
+    df = spark.createDataFrame(rows, X.SCHEMA)
+    h = history.begin(df.where("batch_no = 0"))
+    order = history.Order(df)
+    h.accept(history.identified(df.where("batch_no > 0"), order))  # and then the driver is lost
+    h = history.History(spark, path=h.path)
+    assert {r[0] for r in h.ingest(df.where("batch_no > 0")).collect()} == cases(rows)
 
 
 def test_backward_search():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 5, (300, 4))
-    index = ShardIndex(words)
+    index = ShardIndex(words, 3)
     patterns = rng.integers(0, 6, (200, 4))
-    first, end, matched = index.search(patterns)
-    for k, p in enumerate(patterns):
-        longest = next((n for n in range(4, 0, -1) if any((w[4 - n :] == p[4 - n :]).all() for w in words)), 0)
-        # a maximal match may end inside a word too; it is at least as long as one at the words' ends
-        assert matched[k] >= longest
-        if matched[k] == 4:
-            hits = {int(w) for _, ws in index.occurrences(first[k : k + 1], end[k : k + 1], most=2) for w in ws}
-            assert hits == {i for i, w in enumerate(words) if (w == p).all()}
-        else:
-            assert not any((w == p).all() for w in words)
+    for least in (1, 2, 4):
+        got = {}
+        for pattern, word, span, rest in index.matches(patterns, least, most=7):
+            for p, w, s, r in zip(pattern, word, span, rest):
+                assert (r == words[w, : 4 - least]).all()
+                got[int(p), int(w)] = int(s)
+        want = {}
+        for k, p in enumerate(patterns):
+            for i, w in enumerate(words):
+                s = next((n for n in range(4) if w[3 - n] != p[3 - n]), 4)
+                if s >= least:
+                    want[k, i] = s
+        assert got == want
