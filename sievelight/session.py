@@ -65,6 +65,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/sievelight/{uuid.uuid4().hex}"
         self.written = 0
+        self.named: list[str] = []
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """As ``materialise``."""
@@ -73,7 +74,16 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_bucketed(self, df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+        """As ``put``, bucketed, so that a join with a table of as many buckets shuffles neither."""
+        self.written += 1
+        self.named.append(f"scratch_{uuid.uuid4().hex}")
+        df.write.format("parquet").bucketBy(buckets, by).option("path", f"{self.path}/{self.written}-{name}").saveAsTable(self.named[-1])
+        return self.spark.table(self.named[-1])
+
     def drop(self) -> None:
+        for name in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.path)
 
 
