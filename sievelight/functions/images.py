@@ -7,6 +7,7 @@ result depends on no batch or partition.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -23,20 +24,36 @@ def to_uint8(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x), 0, 255).astype(np.uint8)
 
 
-def _weights(old: int, new: int) -> np.ndarray:
-    """Bicubic weights (new x old), widened when shrinking so that every source pixel counts."""
+def _cubic(x: np.ndarray) -> np.ndarray:
+    a = -0.5
+    return np.where(x < 1, (a + 2) * x**3 - (a + 3) * x**2 + 1, np.where(x < 2, a * x**3 - 5 * a * x**2 + 8 * a * x - 4 * a, 0.0))
+
+
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(x < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+#: Kernels by name, as functions of the distance in pixels, and how far they reach.
+KERNELS = {"cubic": (_cubic, 2.0), "lanczos": (_lanczos, 3.0)}
+
+
+def _weights(old: int, new: int, kernel: str) -> np.ndarray:
+    """Weights (new x old) of a kernel, widened when shrinking so that every source pixel counts; pixels beyond its rounded reach have none."""
+    shape, reach = KERNELS[kernel]
     scale = old / new
     width = max(scale, 1.0)
-    centre = (np.arange(new) + 0.5) * scale - 0.5
-    x = np.abs(np.arange(old)[None, :] - centre[:, None]) / width
-    a = -0.5
-    w = np.where(x < 1, (a + 2) * x**3 - (a + 3) * x**2 + 1, np.where(x < 2, a * x**3 - 5 * a * x**2 + 8 * a * x - 4 * a, 0.0))
+    centre = ((np.arange(new) + 0.5) * scale)[:, None]
+    pixel = np.arange(old)[None, :]
+    w = shape(np.abs(pixel + 0.5 - centre) / width)
+    first, end = np.floor(centre - reach * width + 0.5), np.floor(centre + reach * width + 0.5)
+    w = np.where((pixel >= first) & (pixel < end), w, 0.0)
     return w / w.sum(axis=1, keepdims=True)
 
 
-def scaled(img: np.ndarray, height: int, width: int) -> np.ndarray:
-    rows, columns = _weights(img.shape[0], height), _weights(img.shape[1], width)
-    return to_uint8(np.einsum("ij,jkc,lk->ilc", rows, img.astype(np.float64), columns))
+def scaled(img: np.ndarray, height: int, width: int, kernel: str = "cubic") -> np.ndarray:
+    """Columns first, then rows, each rounded to whole levels, as image libraries do."""
+    across = to_uint8(np.einsum("lk,jkc->jlc", _weights(img.shape[1], width, kernel), img.astype(np.float64)))
+    return to_uint8(np.einsum("ij,jlc->ilc", _weights(img.shape[0], height, kernel), across.astype(np.float64)))
 
 
 def resize(img: np.ndarray, scale: float) -> np.ndarray:
@@ -107,21 +124,28 @@ def reflected(img: np.ndarray, size: int) -> np.ndarray:
     return np.pad(img, ((a // 2, a - a // 2), (b // 2, b - b // 2), (0, 0)), mode="reflect") if a or b else img
 
 
+def box(img: np.ndarray, height: int, width: int, rng: np.random.Generator) -> np.ndarray:
+    """A box of this size at a random place of an image that is at least as large."""
+    top, left = (int(rng.integers(room + 1)) for room in (img.shape[0] - height, img.shape[1] - width))
+    return img[top : top + height, left : left + width]
+
+
+def _any_square(img: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A random square of half to all of the shorter side; of an image of up to 8 pixels, all of it."""
+    shorter = min(img.shape[:2])
+    side = int(rng.integers(shorter // 2, shorter + 1)) if shorter > 8 else shorter
+    return box(img, side, side, rng)
+
+
+#: What an image is cut to before it is brought to size, by mode.
+CUTS = {"resize": lambda img, size, rng: img, "crop_then_resize": lambda img, size, rng: _any_square(img, rng), "random_crop": lambda img, size, rng: box(tiled(img, size, size), size, size, rng)}
+
+
 def take_crop(img: np.ndarray, size: int, mode: str, rng: np.random.Generator) -> np.ndarray:
-    h, w = img.shape[:2]
-    if mode == "resize":
-        return scaled(img, size, size)
-    if mode == "crop_then_resize":
-        least = min(h, w)
-        side = int(rng.integers(least // 2, least + 1)) if least > 8 else least
-        x, y = int(rng.integers(0, max(1, w - side + 1))), int(rng.integers(0, max(1, h - side + 1)))
-        return scaled(img[y : y + side, x : x + side], size, size)
-    if mode != "random_crop":
+    if mode not in CUTS:
         raise ValueError(f"unknown mode {mode!r}")
-    img = tiled(img, size, size)
-    h, w = img.shape[:2]
-    x, y = int(rng.integers(0, w - size + 1)), int(rng.integers(0, h - size + 1))
-    return img[y : y + size, x : x + size]
+    cut = CUTS[mode](img, size, rng)
+    return cut if mode == "random_crop" else scaled(cut, size, size)
 
 
 def fit(img: np.ndarray, size: int) -> np.ndarray:
@@ -135,9 +159,7 @@ def fit(img: np.ndarray, size: int) -> np.ndarray:
 def crops(img: np.ndarray, size: int, n: int, rng: np.random.Generator, pad: str = "reflect") -> list[np.ndarray]:
     """n random crops at native resolution; small images are padded by reflection or by tiles."""
     img = reflected(img, size) if pad == "reflect" else tiled(img, size, size)
-    h, w = img.shape[:2]
-    at = [(int(rng.integers(0, h - size + 1)), int(rng.integers(0, w - size + 1))) for _ in range(n)]
-    return [img[y : y + size, x : x + size] for y, x in at]
+    return [box(img, size, size, rng) for _ in range(n)]
 
 
 def to_tensor(img: np.ndarray) -> np.ndarray:
@@ -158,33 +180,52 @@ def _cosines(n: int) -> np.ndarray:
 
 
 def phash(img: np.ndarray) -> str:
-    """64 bits of the low frequencies of the 32 x 32 grey image against their median (without the constant), as 16 hex digits."""
-    small = scaled(to_uint8(grey(img))[:, :, None], 32, 32)[:, :, 0].astype(np.float64)
+    """64 bits of the low frequencies of the 32 x 32 grey image (by Lanczos) against their median (without the constant), as 16 hex digits."""
+    small = scaled(to_uint8(grey(img))[:, :, None], 32, 32, "lanczos")[:, :, 0].astype(np.float64)
     c = _cosines(32)
     low = (c @ small @ c.T)[:8, :8].reshape(-1)
     bits = low > np.median(low[1:])
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
-def degrade(img: np.ndarray, family: str, value: float | None, rng: np.random.Generator) -> np.ndarray:
-    if family == "clean" or value is None:
+#: Degradations by family: (image, value, generator) -> image.
+FAMILIES: dict[str, Callable[[np.ndarray, float, np.random.Generator], np.ndarray]] = {}
+
+
+def family(name: str):
+    """Register a degradation under a name; a registered name is not given twice."""
+
+    def add(f):
+        if name in FAMILIES:
+            raise ValueError(f"family {name!r} is registered already")
+        FAMILIES[name] = f
+        return f
+
+    return add
+
+
+family("blur")(lambda img, value, rng: blur(img, value))
+family("resize")(lambda img, value, rng: resize(img, value))
+family("noise")(noise)
+family("jitter")(jitter)
+family("crop")(lambda img, value, rng: centre_crop(img, value))
+
+
+@family("jpeg")
+def _jpeg(img: np.ndarray, value: float, rng: np.random.Generator) -> np.ndarray:
+    raise NotImplementedError("re-encoding needs a JPEG codec")
+
+
+def degrade(img: np.ndarray, name: str, value: float | None, rng: np.random.Generator) -> np.ndarray:
+    """An image after one degradation; ``clean`` and a missing value leave it as it is."""
+    if name == "clean" or value is None:
         return img
-    if family == "blur":
-        return blur(img, value)
-    if family == "resize":
-        return resize(img, value)
-    if family == "noise":
-        return noise(img, value, rng)
-    if family == "jitter":
-        return jitter(img, value, rng)
-    if family == "crop":
-        return centre_crop(img, value)
-    if family == "jpeg":
-        raise NotImplementedError("re-encoding needs a JPEG codec")
-    raise ValueError(f"unknown family {family!r}")
+    if name not in FAMILIES:
+        raise ValueError(f"unknown family {name!r}")
+    return FAMILIES[name](img, value, rng)
 
 
 def chain(img: np.ndarray, steps: list[tuple[str, float]], rng: np.random.Generator) -> np.ndarray:
-    for family, value in steps:
-        img = degrade(img, family, value, rng)
+    for name, value in steps:
+        img = degrade(img, name, value, rng)
     return img

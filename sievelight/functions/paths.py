@@ -39,14 +39,14 @@ def basename(path: Column) -> Column:
     return F.substring_index(forward(path), "/", -1)
 
 
-def portable(path: Column) -> Column:
-    """The path in the portable layout; null where an absolute path fits none of the known places."""
+def portable(path: Column, strict: bool = False) -> Column:
+    """The path in the portable layout; where an absolute path fits none of the known places it is null, or an error if ``strict``."""
     p = forward(path)
     out = F.when(~p.startswith("/"), p)
     for marker, place in reversed(PORTABLE):
-        rest = F.substring(p, F.locate(marker, p) + len(marker), 1_000_000)
+        rest = F.substr(p, F.locate(marker, p) + len(marker))
         out = F.when(F.contains(p, F.lit(marker)), F.concat(F.lit(place), rest)).otherwise(out)
-    return out
+    return F.when(p.isNotNull() & out.isNull(), F.raise_error(F.concat(F.lit("no portable place for "), p))).otherwise(out) if strict else out
 
 
 def lifecycle(path: Column, split: Column, source: Column) -> Column:

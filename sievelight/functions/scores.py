@@ -48,42 +48,33 @@ def logit_mean(ps: Sequence[Column], weights: Sequence[float] | None = None) ->
     return sigmoid(weighted_mean([logit(p) for p in ps], weights))
 
 
-@dataclass(frozen=True)
-class Tree:
-    """An expert, or a weighted group of trees; weights count relative to their siblings."""
-
-    weight: float = 1.0
-    expert: str | None = None
-    parts: tuple[Tree, ...] = field(default=())
-
-    @classmethod
-    def of(cls, spec: dict) -> Tree:
-        if "expert" in spec:
-            return cls(float(spec.get("weight", 1.0)), str(spec["expert"]))
-        return cls(float(spec.get("weight", 1.0)), None, tuple(cls.of(c) for c in spec.get("children", [])))
-
-    def coefficients(self) -> dict[str, float]:
-        """The share of each expert: a tree is linear, so it compiles to one weighted sum."""
-        if self.expert is not None:
-            return {self.expert: 1.0}
-        if not self.parts:
-            raise ValueError("a tree needs an expert or parts")
-        whole = sum(p.weight for p in self.parts)
-        out: dict[str, float] = {}
-        for p in self.parts:
-            for name, c in p.coefficients().items():
-                out[name] = out.get(name, 0.0) + c * p.weight / whole
-        return out
-
-    def column(self, values: dict[str, Column]) -> Column:
-        shares = self.coefficients()
-        missing = sorted(set(shares) - set(values))
-        if missing:
-            raise KeyError(f"no scores of {missing}")
-        out = None
-        for name, c in shares.items():
-            out = values[name] * c if out is None else out + values[name] * c
-        return out
+def shares(spec: dict) -> dict[str, float]:
+    """Each expert's part in a nested group of weighted experts.
+
+    A group is linear in its experts, so any nesting comes down to one number per expert: the product of the relative weights
+    on the way to it, added up where it stands several times. Weights default to 1.
+    """
+    out: dict[str, float] = {}
+    open_groups = [(spec, 1.0)]
+    while open_groups:
+        node, part = open_groups.pop()
+        if "expert" in node:
+            out[node["expert"]] = out.get(node["expert"], 0.0) + part
+            continue
+        members = node.get("children") or []
+        if not members:
+            raise ValueError("a group needs an expert or members")
+        weights = [float(m.get("weight", 1.0)) for m in members]
+        open_groups += [(m, part * w / sum(weights)) for m, w in zip(members, weights)]
+    return out
+
+
+def dot(parts: dict[str, float], values: dict[str, Column]) -> Column:
+    """The weighted sum of the experts' values that ``parts`` names."""
+    if missing := sorted(parts.keys() - values.keys()):
+        raise KeyError(f"no scores of {missing}")
+    terms = [values[name] * c for name, c in sorted(parts.items())]
+    return sum(terms[1:], terms[0])
 
 
 #: The published tree of five experts, m1 to m5.
@@ -93,60 +84,80 @@ PUBLISHED = {"children": [
         {"weight": 0.3, "expert": "m4"}]},
     {"weight": 0.3, "expert": "m5"}]}
 
+#: From which logits on the published gate trusts its experts, by how much it moves, who votes, how many must, against whom.
+TRUSTED = {"m4": 8.0, "m5": 3.0}
+SHIFT = 2.5
+VOTERS = ("m1", "m2", "m3", "m5")
+QUORUM = 3
+DISSENTER = "m4"
+
 
 @dataclass(frozen=True)
 class Gate:
-    """Two strong experts whose agreement moves a fused logit that contradicts them.
-
-    Where ``majority`` of at least ``least`` experts agree against the dissenter, the dissenter is left out, but only if the
-    tree can do without it; a tree that holds the dissenter stays as it is.
+    """A decision table over the directions (-1, 0, 1) of logits.
+
+    ======================================================  ==========================================
+    a quorum of voters shares the votes' balance and the    the plain fusion, where it goes without the
+    dissenter points elsewhere                              dissenter
+    all trusted experts point one way beyond their bounds,  the fusion, moved that way by ``shift``
+    the fusion does not
+    else                                                    the fusion
+    ======================================================  ==========================================
     """
 
-    strong: tuple[str, str] = ("m4", "m5")
-    thresholds: tuple[float, float] = (8.0, 3.0)
-    shift: float = 2.5
-    majority: tuple[str, ...] = ("m1", "m2", "m3", "m5")
-    least: int = 3
-    dissenter: str = "m4"
-
-    def apply(self, fused: Column, logits: dict[str, Column], tree: Tree) -> Column:
-        out = fused
-        if all(s in logits for s in self.strong):
-            a, b = (logits[s] for s in self.strong)
-            sure = (F.abs(a) >= self.thresholds[0]) & (F.abs(b) >= self.thresholds[1])
-            against = sure & (F.signum(a) == F.signum(b)) & (F.signum(a) != F.signum(fused))
-            out = F.when(against, fused + self.shift * F.signum(a)).otherwise(fused)
-        present = [m for m in self.majority if m in logits]
-        if self.dissenter in logits and len(present) >= self.least and self.dissenter not in tree.coefficients():
-            signs = [F.signum(logits[m]) for m in present]
-            total = signs[0]
-            for s in signs[1:]:
-                total = total + s
-            modal = F.signum(total)
-            agree = F.lit(0)
-            for s in signs:
-                agree = agree + (s == modal).cast("int")
-            out = F.when((agree >= self.least) & (F.signum(logits[self.dissenter]) != modal), tree.column(logits)).otherwise(out)
-        return out
+    trusted: dict[str, float] = field(default_factory=lambda: dict(TRUSTED))
+    shift: float = SHIFT
+    voters: tuple[str, ...] = VOTERS
+    quorum: int = QUORUM
+    dissenter: str = DISSENTER
+
+    def pointing(self, logits: dict[str, Column]) -> Column:
+        """The way that all trusted experts point beyond their bounds; 0 if they don't, or one is absent."""
+        if not self.trusted.keys() <= logits.keys():
+            return F.lit(0)
+        way = lambda e, bound: F.when(logits[e] >= max(bound, 0.0), F.signum(logits[e])).when(logits[e] <= -bound, F.lit(-1.0)).otherwise(F.lit(0.0))
+        ways = F.array(*[way(e, b) for e, b in self.trusted.items()])
+        return F.when(F.array_min(ways) == F.array_max(ways), F.array_max(ways)).otherwise(F.lit(0.0))
+
+    def outvoted(self, logits: dict[str, Column], parts: dict[str, float]) -> Column:
+        votes = [F.signum(logits[v]) for v in self.voters if v in logits]
+        if self.dissenter in parts or self.dissenter not in logits or len(votes) < self.quorum:
+            return F.lit(False)
+        ballot = F.array(*votes)
+        balance = F.signum(F.aggregate(ballot, F.lit(0.0), lambda n, v: n + v))
+        behind = F.size(F.filter(ballot, lambda v: v == balance))
+        return (behind >= self.quorum) & (F.signum(logits[self.dissenter]) != balance)
+
+    def decide(self, parts: dict[str, float], logits: dict[str, Column]) -> Column:
+        fusion = dot(parts, logits)
+        way = self.pointing(logits)
+        moved = F.when((way != 0) & (way * fusion <= 0), fusion + way * self.shift).otherwise(fusion)
+        return F.when(self.outvoted(logits, parts), fusion).otherwise(moved)
+
+
+def _hierarchical(values: dict[str, Column], weights, tree, gate: Gate | None) -> Column:
+    parts = shares(tree or PUBLISHED)
+    return dot(parts, values) if gate is None else sigmoid(gate.decide(parts, {n: logit(p) for n, p in values.items()}))
+
+
+def _listed(values: dict[str, Column], weights: dict[str, float] | None) -> list[float] | None:
+    return [weights.get(n, 1.0) for n in values] if weights else None
+
+
+#: How scores become one, by mode.
+FUSIONS = {
+    "mean": lambda values, weights, tree, gate: weighted_mean(list(values.values())),
+    "weighted": lambda values, weights, tree, gate: weighted_mean(list(values.values()), _listed(values, weights)),
+    "logit": lambda values, weights, tree, gate: logit_mean(list(values.values()), _listed(values, weights)),
+    "hierarchical": _hierarchical,
+}
 
 
 def fuse(values: dict[str, Column], mode: str = "mean", weights: dict[str, float] | None = None, tree: dict | None = None, gate: Gate | None = None) -> Column:
-    """One probability from several; logits are derived where a mode needs them."""
-    names = list(values)
-    given = [(weights or {}).get(n, 1.0) for n in names]
-    if mode == "mean":
-        return weighted_mean(list(values.values()))
-    if mode == "weighted":
-        return weighted_mean(list(values.values()), given)
-    if mode == "logit":
-        return logit_mean(list(values.values()), given if weights else None)
-    if mode == "hierarchical":
-        node = Tree.of(tree or PUBLISHED)
-        if gate is None:
-            return node.column(values)
-        logits = {n: logit(p) for n, p in values.items()}
-        return sigmoid(gate.apply(node.column(logits), logits, node))
-    raise ValueError(f"unknown mode {mode!r}")
+    """One probability from several, by one of FUSIONS; logits are derived where a mode needs them."""
+    if mode not in FUSIONS:
+        raise ValueError(f"unknown mode {mode!r}")
+    return FUSIONS[mode](values, weights, tree, gate)
 
 
 def linear(values: Sequence[Column], means: Sequence[float], scales: Sequence[float], coefficients: Sequence[float], intercept: float, a: float = -1.0, b: float = 0.0) -> Column:

@@ -89,10 +89,23 @@ def fn_fusion_tree(spark, d):
 FUSED = f"(0.42 * {Z.format('a')} + 0.28 * {Z.format('b')} + 0.3 * {Z.format('c')})"
 
 
-@query(sql(f"""1 / (1 + exp(-CASE WHEN abs({Z.format('a')}) >= 1.5 AND abs({Z.format('c')}) >= 0.5 AND sign({Z.format('a')}) = sign({Z.format('c')}) AND sign({Z.format('a')}) <> sign({FUSED}) THEN {FUSED} + 2.5 * sign({Z.format('a')}) ELSE {FUSED} END))"""))
+#: As FUSED for a tree without the expert a.
+WITHOUT = f"(0.6 * {Z.format('b')} + 0.4 * {Z.format('c')})"
+SURE = f"abs({Z.format('a')}) >= 1.5 AND abs({Z.format('c')}) >= 0.5 AND sign({Z.format('a')}) = sign({Z.format('c')})"
+
+
+def _moved(fused: str) -> str:
+    return f"CASE WHEN {SURE} AND sign({Z.format('a')}) <> sign({fused}) THEN {fused} + 2.5 * sign({Z.format('a')}) ELSE {fused} END"
+
+
+@query(f"""{WIDE} SELECT row_id, condition, round(1 / (1 + exp(-{_moved(FUSED)})), 8) AS fused,
+ round(1 / (1 + exp(-CASE WHEN sign({Z.format('b')}) = sign({Z.format('c')}) AND sign({Z.format('a')}) <> sign({Z.format('b')}) THEN {WITHOUT} ELSE {_moved(WITHOUT)} END)), 8) AS outvoted FROM w""")
 def fn_dual_gate(spark, d):
-    gate = P.Gate(strong=("a", "c"), thresholds=(1.5, 0.5), majority=("b", "c"), least=2, dissenter="a")
-    return one(spark, d, P.fuse(abc(), "hierarchical", tree=TREE, gate=gate))
+    """Gated fusion by a tree that holds the dissenter, and by one that can do without it."""
+    gate = P.Gate(trusted={"a": 1.5, "c": 0.5}, voters=("b", "c"), quorum=2, dissenter="a")
+    without = {"children": [{"weight": 0.6, "expert": "b"}, {"weight": 0.4, "expert": "c"}]}
+    columns = {"fused": P.fuse(abc(), "hierarchical", tree=TREE, gate=gate), "outvoted": P.fuse(abc(), "hierarchical", tree=without, gate=gate)}
+    return wide(spark, d).select("row_id", "condition", *[F.round(c, 8).alias(n) for n, c in columns.items()])
 
 
 @query(f"""{WIDE} SELECT row_id, condition, round((a + b + c) / 3, 8) AS mean, round((2 * a + b + c) / 4, 8) AS weighted, round(1 / (1 + exp(-(2 * {Z.format('a')} + {Z.format('b')} + {Z.format('c')}) / 4)), 8) AS logit, round(a * 0.42 + b * 0.28 + c * 0.3, 8) AS hierarchical FROM w""")

@@ -62,8 +62,7 @@ def test_fusion_goldens(spark):
     assert one(spark, S.weighted_mean([lit(0.9), lit(0.2)], [0.7, 0.3])) == pytest.approx(0.69)
     assert one(spark, S.logit_mean([lit(0.9), lit(0.2)])) == pytest.approx(0.6)
     assert one(spark, S.temperature(lit(0.9), 2.0)) == pytest.approx(0.75)
-    tree = S.Tree.of(S.PUBLISHED)
-    assert tree.coefficients() == pytest.approx({"m1": 0.3675, "m2": 0.0735, "m3": 0.049, "m4": 0.21, "m5": 0.3})
+    assert S.shares(S.PUBLISHED) == pytest.approx({"m1": 0.3675, "m2": 0.0735, "m3": 0.049, "m4": 0.21, "m5": 0.3})
     values = {f"m{i + 1}": lit(v) for i, v in enumerate((0.9, 0.8, 0.7, 0.2, 0.1))}
     assert one(spark, S.fuse(values, "hierarchical")) == pytest.approx(0.49585)
     with pytest.raises(KeyError):
@@ -74,15 +73,15 @@ def test_fusion_goldens(spark):
 
 def test_gate(spark):
     z = {"m1": -3.0, "m2": -3.0, "m3": -3.0, "m4": 9.0, "m5": 4.0}
-    tree = S.Tree.of({"children": [{"weight": 0.9, "expert": "m1"}, {"weight": 0.1, "expert": "m5"}]})
+    parts = S.shares({"children": [{"weight": 0.9, "expert": "m1"}, {"weight": 0.1, "expert": "m5"}]})
     cols = {k: F.lit(v) for k, v in z.items()}
     fused = 0.9 * -3 + 0.1 * 4
-    # the strong experts agree against the fused logit, but the majority then leaves out the dissenter, which this tree can
-    assert one(spark, S.Gate(least=9).apply(tree.column(cols), cols, tree)) == pytest.approx(fused + 2.5)
-    assert one(spark, S.Gate().apply(tree.column(cols), cols, tree)) == pytest.approx(fused)
-    published = S.Tree.of(S.PUBLISHED)
-    base = sum(c * z[k] for k, c in published.coefficients().items())
-    assert one(spark, S.Gate().apply(published.column(cols), cols, published)) == pytest.approx(base + (2.5 if base < 0 else 0))
+    # the trusted experts agree against the fused logit, but the majority then leaves out the dissenter, which these parts can
+    assert one(spark, S.Gate(quorum=9).decide(parts, cols)) == pytest.approx(fused + 2.5)
+    assert one(spark, S.Gate().decide(parts, cols)) == pytest.approx(fused)
+    published = S.shares(S.PUBLISHED)
+    base = sum(c * z[k] for k, c in published.items())
+    assert one(spark, S.Gate().decide(published, cols)) == pytest.approx(base + (2.5 if base < 0 else 0))
 
 
 def test_normal_forms(spark):
