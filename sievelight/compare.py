@@ -10,8 +10,10 @@ from collections import Counter
 
 def plain(x):
     """A value in a form both engines share."""
-    if x is None or isinstance(x, float) and math.isnan(x):
+    if x is None:
         return None
+    if isinstance(x, float) and math.isnan(x):
+        return "NaN"
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return bool(x)
     if isinstance(x, decimal.Decimal | float):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sievelight.operators.skew import bucket_rank
 
+#: Cells that a grid may have.
+MOST_CELLS = 1000
+
 
 def usable() -> Column:
     return F.col("done") & F.col("score").isNotNull() & ~F.isnan("score")
@@ -24,7 +27,9 @@ def with_fallback(scores: DataFrame, fallback: float = 0.5) -> DataFrame:
 
 def beside_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Every row at every cell; the cells (fifteen) are exploded beside the row, so nothing is joined."""
-    listed = [r.asDict() for r in cells.orderBy("family", "severity_rank").limit(1000).collect()]
+    listed = [r.asDict() for r in cells.orderBy("family", "severity_rank").limit(MOST_CELLS + 1).collect()]
+    if len(listed) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
     each = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in cells.dtypes]) for r in listed])
     return rows.select("*", F.explode(each).alias("_c")).select(*rows.columns, "_c.*")
 

@@ -223,10 +223,17 @@ def sort_multi_dir(spark, d):
     return cv.withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
-@query(f"""{CLEAN}, t AS (SELECT CAST(0.25 + k * 0.05 AS DOUBLE) AS temperature FROM (SELECT unnest(range(0, 76)) AS k)),
-l AS (SELECT expert, y, ln(least(greatest(p, 1e-6), 1 - 1e-6)) - ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)) AS z, count(*) AS n FROM c GROUP BY ALL),
-loss AS (SELECT expert, temperature, round(sum(n * (greatest(z / temperature, 0) - z / temperature * y + ln(1 + exp(-abs(z / temperature))))) / sum(n), 9) AS loss FROM l, t GROUP BY 1, 2)
-SELECT expert, round(temperature, 2) AS temperature, round(loss, 6) AS loss FROM loss QUALIFY row_number() OVER (PARTITION BY expert ORDER BY loss, temperature) = 1""")
+#: The slope of the loss in b = 1 / temperature rises, so halving the interval sixty times finds its zero.
+BISECT = CLEAN.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"""{BISECT},
+l AS (SELECT expert, y, ln(least(greatest(p, 1e-6), 1 - 1e-6)) - ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)) AS z, CAST(count(*) AS DOUBLE) AS n FROM c GROUP BY ALL),
+it AS (SELECT DISTINCT expert, 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(1000 AS DOUBLE) AS hi FROM l UNION ALL
+ SELECT expert, k + 1, CASE WHEN g > 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN g > 0 THEN (lo + hi) / 2 ELSE hi END
+ FROM (SELECT it.expert, k, lo, hi, sum(n * z * (1 / (1 + exp(-z * (lo + hi) / 2)) - y)) AS g FROM it JOIN l ON l.expert = it.expert WHERE k < 60 GROUP BY it.expert, k, lo, hi)),
+b AS (SELECT expert, (lo + hi) / 2 AS b FROM it WHERE k = 60)
+SELECT b.expert, round(1 / any_value(b), 6) AS temperature, round(sum(n * (greatest(z * b, 0) - z * b * y + ln(1 + exp(-abs(z * b))))) / sum(n), 6) AS loss FROM b JOIN l ON l.expert = b.expert GROUP BY b.expert""")
 def ml_temperature_fit(spark, d):
     return S.fit_temperature(clean(spark, d), ["expert"])
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import io
-import os
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from sievelight.operators import metrics as M
 from sievelight.operators import scoring
+from sievelight.plans.evaluation import CV
 from sievelight.session import shared_dir
 from sievelight.sources import archives, readers, sinks
 from sievelight.streaming import incremental as R
@@ -38,12 +39,12 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/manifest.parquet")
 
 
-@query("SELECT coalesce(sha256, '') AS sha256, label, width, height, coalesce(phash, '') AS phash FROM manifest")
+@query("SELECT nullif(path, '') AS path, label, nullif(source, '') AS source, nullif(generator, '') AS generator, nullif(split, '') AS split, coalesce(sha256, '') AS sha256, width, height, coalesce(phash, '') AS phash FROM manifest")
 def src_manifest_csv(spark, d):
-    """Written as a manifest file and read with its schema; an empty hash comes back empty."""
+    """Written as a manifest file and read with its schema, which has no empty texts; a missing hash comes back empty."""
     path = place(spark, "manifest")
     sinks.manifest_csv(manifest(spark, d), path)
-    return readers.manifest_csv(spark, path).select("sha256", "label", "width", "height", "phash")
+    return readers.manifest_csv(spark, path)
 
 
 @query("SELECT CAST(label AS INT) AS label, count(*) AS n, CAST(sum(width) AS BIGINT) AS width FROM manifest GROUP BY 1")
@@ -61,35 +62,45 @@ def src_parquet_shards(spark, d):
     return first_per(readers.shards(spark, f"{d}/manifest.parquet", ["row_id", "label"]).where("label IS NOT NULL"), ["label"], ["row_id"], 100)
 
 
-@query("SELECT split, count(*) AS n FROM manifest WHERE split = 'val' GROUP BY 1")
+@query("SELECT nullif(path, '') AS path, label, nullif(source, '') AS source, nullif(generator, '') AS generator, nullif(split, '') AS split, nullif(sha256, '') AS sha256, width, height, nullif(phash, '') AS phash FROM manifest")
 def sink_split_manifests(spark, d):
+    """One manifest file per split, read again; no split and an empty one share a folder."""
     path = place(spark, "splits")
     sinks.split_manifests(manifest(spark, d), path)
-    return spark.read.parquet(path).where("split = 'val'").groupBy("split").agg(F.count("*").alias("n"))
+    columns = ", ".join(c for c in readers.MANIFEST_SCHEMA.split(", ") if not c.startswith("split ")) + ", split string"
+    return spark.read.schema(columns).option("header", True).csv(path).select(*readers.MANIFEST_COLUMNS)
 
 
-@query("SELECT source, split, count(*) AS n FROM manifest WHERE source IS NOT NULL AND trim(source) <> '' AND split IS NOT NULL AND trim(split) <> '' GROUP BY 1, 2")
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM manifest")
 def sink_manifest(spark, d):
+    """Written in order of source, split and path; rows that stand before a smaller one, within a file or across files, are counted."""
     path = place(spark, "sorted")
     sinks.manifest_csv(manifest(spark, d), path)
-    read = spark.read.schema(readers.MANIFEST_SCHEMA).option("header", True).csv(path).where("source IS NOT NULL AND trim(source) <> '' AND split IS NOT NULL AND trim(split) <> ''")
-    return read.groupBy("source", "split").agg(F.count("*").alias("n"))
-
-
-@query("SELECT image_path, round(least(greatest(CASE WHEN pred IS NULL OR isnan(pred) THEN 0.5 ELSE pred END, 0), 1), 6) AS pred FROM predictions WHERE image_path IS NOT NULL")
+    read = spark.read.schema(readers.MANIFEST_SCHEMA).option("header", True).csv(path)
+    place_of = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("i"))
+    text = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("source", "split", "path")])
+    lines = read.select(F.col("_metadata.file_name").alias("file"), place_of.alias("at"), text.alias("key"))
+    w = Window.partitionBy("file").orderBy("at")  # a file holds what one task wrote
+    inside = lines.select("file", "key", F.lag("key").over(w).alias("before"))
+    files = inside.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("before") > F.col("key")).alias("bad"), F.min("key").alias("low"), F.max("key").alias("high"))
+    across = files.select("n", "bad", "low", F.lag("high").over(Window.orderBy("file")).alias("before"))  # one row per file
+    return across.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("bad") + (F.col("before") > F.col("low")).cast("bigint")), F.sum("bad"), F.lit(0)).alias("out_of_order"))
+
+
+@query("SELECT image_path, round(least(greatest(CASE WHEN pred IS NULL OR isnan(pred) THEN 0.5 ELSE pred END, 0), 1), 6) AS pred FROM predictions")
 def sink_pred_json(spark, d):
     path = place(spark, "json")
-    sinks.predictions_json(spark.read.parquet(f"{d}/predictions.parquet").where("image_path IS NOT NULL"), path)
+    sinks.predictions_json(spark.read.parquet(f"{d}/predictions.parquet"), path)
     return spark.read.schema("image_path string, pred double").json(path)
 
 
 TEXT = "CASE WHEN {0} IS NULL OR isnan({0}) THEN 'NaN' ELSE printf('%.6f', {0}) END"
 
 
-@query(f"""SELECT image_path, {TEXT.format('pred')} AS pred, CASE WHEN pred IS NULL OR isnan(pred) THEN 'UNREADABLE' WHEN pred >= 0.5 THEN 'FAKE' ELSE 'REAL' END AS verdict, {TEXT.format('dinov3_l')} AS dinov3_l FROM predictions WHERE image_path IS NOT NULL""")
+@query(f"""SELECT image_path, {TEXT.format('pred')} AS pred, CASE WHEN pred IS NULL OR isnan(pred) THEN 'UNREADABLE' WHEN pred >= 0.5 THEN 'FAKE' ELSE 'REAL' END AS verdict, {TEXT.format('dinov3_l')} AS dinov3_l FROM predictions""")
 def sink_pred_csv(spark, d):
     path = place(spark, "csv")
-    sinks.predictions_csv(spark.read.parquet(f"{d}/predictions.parquet").where("image_path IS NOT NULL"), path, ["dinov3_l"])
+    sinks.predictions_csv(spark.read.parquet(f"{d}/predictions.parquet"), path, ["dinov3_l"])
     return spark.read.option("header", True).csv(path)
 
 
@@ -112,15 +123,16 @@ def src_hash_list(spark, d):
     return readers.hash_list(spark, path)
 
 
-@query("SELECT expert, threshold, count(*) AS n FROM (SELECT unnest(['community_forensics', 'dinov3_l', 'dinov3_b']) AS expert), (SELECT CAST(unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS threshold) GROUP BY 1, 2")
+@query(f"{CV} SELECT * FROM cv")
 def sink_cv_csv(spark, d):
-    """Cross-validation results as a file; each expert and threshold has one row."""
+    """Cross-validation results as a file and back, all numbers of it."""
     from sievelight.operators.selection import cv_summary, with_fold
     from sievelight.plans.evaluation import clean
 
     path = place(spark, "cv")
-    cv_summary(with_fold(clean(spark, d), "row_id", 5)).write.option("header", True).csv(path)
-    return readers.inferred_csv(spark, path).groupBy("expert", F.col("threshold").cast("double").alias("threshold")).agg(F.count("*").alias("n"))
+    cv = cv_summary(with_fold(clean(spark, d), "row_id", 5))
+    cv.write.option("header", True).csv(path)
+    return spark.read.schema(cv.schema).option("header", True).csv(path)
 
 
 def pending(spark: SparkSession, d: str) -> DataFrame:
@@ -164,40 +176,41 @@ def inc_micro_batch(spark, d):
     return spark.read.parquet(sink)
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, value), lambda s, x: s * 0.9 + x * CAST(0.1 AS DOUBLE)), 6) AS ema FROM events GROUP BY 1")
 def inc_ema(spark, d):
-    """Counts and exponential averages; the SQL has the count only, the average is compared with a plain loop in the tests."""
-    return R.exponential_average(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "value", 0.9)
+    """Counts and exponential averages."""
+    return R.exponential_average(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "value", 0.9).withColumn("ema", F.round("ema", 6))
 
 
 @query("SELECT CAST(item_id AS VARCHAR) || '.txt' AS name, octet_length(encode(text)) AS size, sha256(text) AS digest FROM eval_items")
 def src_remote_zip(spark, d):
     """The evaluation items, which do not grow, packed into an archive and read through the data source."""
-    path = place(spark, "zip").removeprefix("file:") + ".zip"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in spark.read.parquet(f"{d}/eval_items.parquet").select("item_id", "text").toLocalIterator():
-            z.writestr(f"{r['item_id']}.txt", r["text"])
-    with open(path, "wb") as f:
-        f.write(packed.getvalue())
+    path = _archive(spark, d, zipfile.ZIP_DEFLATED)
     spark.dataSource.register(archives.ZipSource)
     members = spark.read.format("zip_members").option("max_span", 20_000).load(path)
     return members.select("name", "size", F.sha2("content", 256).alias("digest"))
 
 
-@query("SELECT CAST(item_id AS VARCHAR) || '.txt' AS name FROM eval_items")
-def src_zip_index_cache(spark, d):
-    """An archive's directory kept as a table."""
-    path = place(spark, "index").removeprefix("file:") + ".zip"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with zipfile.ZipFile(path, "w") as z:
+def _archive(spark: SparkSession, d: str, method: int) -> str:
+    """The evaluation items, which do not grow, as an archive in the shared folder."""
+    path = place(spark, "archive") + ".zip"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", method) as z:
         for r in spark.read.parquet(f"{d}/eval_items.parquet").select("item_id", "text").toLocalIterator():
             z.writestr(f"{r['item_id']}.txt", r["text"])
-    entries = archives.directory(path)
-    kept = place(spark, "members")
-    spark.createDataFrame([(e.name, e.method, e.compressed, e.size, e.offset, e.crc) for e in entries], "name string, method int, compressed bigint, size bigint, offset bigint, crc bigint").write.parquet(kept)
-    return spark.read.parquet(kept).select("name")
+    archives.write(path, packed.getvalue())
+    return path
+
+
+@query("SELECT CAST(item_id AS VARCHAR) || '.txt' AS name, octet_length(encode(text)) AS size, reads FROM eval_items, (SELECT unnest([1, 1]) AS reads)")
+def src_zip_index_cache(spark, d):
+    """An archive's directory kept as a table under the archive's place and size: asked twice, it is read once."""
+    path, kept = _archive(spark, d, zipfile.ZIP_STORED), place(spark, "members")
+    reads: list[str] = []
+    read = lambda p: reads.append(p) or archives.directory(p)
+    first = archives.indexed(spark, path, kept, read)
+    second = archives.indexed(spark, path, kept, read)
+    return first.unionByName(second).select("name", "size", F.lit(len(reads)).alias("reads"))
 
 
 @query("""WITH m AS (SELECT source, doc_id * 600 AS s, doc_id * 600 + n_chars AS e FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL),
@@ -221,15 +234,47 @@ def win_coalesce_spans_capped(spark, d):
     return archives.span_groups(spans_of(spark, d), "source", "s", "e", 2000, 20_000)
 
 
-@query("SELECT 'data/a.zip' AS path, CAST(12 AS BIGINT) AS bytes UNION ALL SELECT 'data/b.zip', 30")
+@query("SELECT 'items/' || item_id || '.txt' AS path, octet_length(encode(text)) AS bytes, CAST(4 AS INT) AS pages FROM eval_items")
 def src_repo_listing(spark, d):
-    listing = [{"Path": "data", "Type": "tree"}, {"Path": "data/a.zip", "Type": "blob", "Size": 12}, {"Path": "data/b.zip", "Type": "blob", "Size": 30}]
-    return spark.createDataFrame(readers.repository_files(listing), "path string, bytes bigint")
+    """A repository's listing, read page by page (of 100; the last is short) and kept: asked again, no page is read."""
+    items = spark.read.parquet(f"{d}/eval_items.parquet").select("item_id", F.octet_length("text").alias("n")).orderBy("item_id").collect()  # does not grow
+    entries = [{"Path": "items", "Type": "tree"}, *({"Path": f"items/{r['item_id']}.txt", "Type": "blob", "Size": r["n"]} for r in items)]
+    asked: list[int] = []
 
+    def page(number: int) -> list[dict]:
+        asked.append(number)
+        return entries[(number - 1) * 100 : number * 100]
 
-@query("SELECT expert, count(*) AS n FROM (SELECT unnest(['community_forensics', 'dinov3_l', 'dinov3_b']) AS expert) GROUP BY 1")
+    kept = place(spark, "listing")
+    for _ in range(2):
+        files = readers.repository_listing(spark, page, kept)
+    return files.withColumn("pages", F.lit(len(asked)))
+
+
+#: The published fusion artifact.
+ARTIFACT = """{
+  "model": "SVM (linear)",
+  "threshold": 0.7,
+  "criterion": "max mean CV balanced accuracy; tie-break min mean CV log loss",
+  "test_set_used_for_selection": false,
+  "feature_order": ["Community Forensics Pr", "DINOv3-L detector Pr", "DINOv3-B stacking detector Pr"],
+  "best_params": {"model__C": 0.1},
+  "development_rows": 1383,
+  "final_test_rows": 617,
+  "random_state": 1337,
+  "group_source": "_diversity_group"
+}"""
+FEATURES = dict(zip(("Community Forensics Pr", "DINOv3-L detector Pr", "DINOv3-B stacking detector Pr"), M.EXPERTS))
+
+
+@query("""WITH f AS (SELECT 1 AS place, 'community_forensics' AS feature, community_forensics AS p FROM predictions UNION ALL SELECT 2, 'dinov3_l', dinov3_l FROM predictions UNION ALL SELECT 3, 'dinov3_b', dinov3_b FROM predictions)
+SELECT place, feature, CAST(0.65 AS DOUBLE) AS threshold, count(*) FILTER (NOT isnan(p) AND p BETWEEN 0 AND 1) AS usable, count(*) FILTER (NOT isnan(p) AND p BETWEEN 0 AND 1 AND p >= 0.65) AS above FROM f GROUP BY 1, 2""")
 def src_model_artifact(spark, d):
-    """A fusion artifact as configuration: its features in order."""
-    artifact = readers.config('{"feature_order": ["community_forensics", "dinov3_l"], "threshold": 0.5}', ["threshold=0.7"])
-    names = [*artifact["feature_order"], *[e for e in M.EXPERTS if e not in artifact["feature_order"]]]
-    return spark.createDataFrame([(n, 1) for n in names], "expert string, n bigint")
+    """The artifact's features in its order, with its threshold overridden, applied to the predictions' columns."""
+    artifact = readers.config(ARTIFACT, ["threshold=0.65"])
+    p = spark.read.parquet(f"{d}/predictions.parquet")
+    columns = [FEATURES[f] for f in artifact["feature_order"]]
+    long = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("place"), F.lit(c).alias("feature"), F.col(c).alias("p")) for i, c in enumerate(columns)]))
+    usable = M.valid(F.col("p"))
+    counts = p.select(long.alias("x")).select("x.*").groupBy("place", "feature").agg(F.count_if(usable).alias("usable"), F.count_if(usable & (F.col("p") >= artifact["threshold"])).alias("above"))
+    return counts.withColumn("threshold", F.lit(artifact["threshold"]))

@@ -126,12 +126,12 @@ def samp_curriculum(spark, d):
     return S.curriculum(rows(spark, d), "row_id", 1, 4)
 
 
-@query(f"""{LAB}, g AS (SELECT {GROUP} AS g, count(*) AS n, sum(label) AS pos FROM lab GROUP BY 1), t AS (SELECT *, unnest(range(0, 100)) AS candidate FROM g),
+@query(f"""{LAB}, g AS (SELECT {GROUP} AS g, count(*) AS n, sum(label) AS pos FROM lab GROUP BY 1), t AS (SELECT *, unnest(range(0, 500)) AS candidate FROM g),
 s AS (SELECT candidate, sum(n) AS n, sum(pos) AS p, coalesce(sum(n) FILTER (x), 0) AS tn, coalesce(sum(pos) FILTER (x), 0) AS tp FROM (SELECT *, CAST('0x' || left(sha256('1337:' || candidate || ':' || g), 8) AS BIGINT) < 1288490188 AS x FROM t) GROUP BY 1),
 e AS (SELECT candidate, round(abs(tn / CAST(n AS DOUBLE) - 0.3) + abs((p - tp) / CAST(n - tn AS DOUBLE) - p / CAST(n AS DOUBLE)) + abs(tp / CAST(tn AS DOUBLE) - p / CAST(n AS DOUBLE)), 9) AS error, CAST(tn AS BIGINT) AS rows FROM s WHERE tp > 0 AND tp < tn AND p - tp > 0 AND p - tp < n - tn)
 SELECT CAST(candidate AS INT) AS candidate, error, rows FROM e ORDER BY error, candidate LIMIT 1""")
 def split_group_holdout(spark, d):
-    """The best of the operator's 500 candidates; the SQL weighs the first 100 of them only."""
+    """The best of 500 candidates."""
     g = F.concat_ws(" / ", F.coalesce("source", F.lit("unknown")), F.coalesce("generator", F.lit("unknown")))
     return S.group_holdout(labelled(spark, d).select("label", g.alias("g")), "g", "label", 0.3)
 
@@ -149,10 +149,10 @@ def prj_unseen_split(spark, d):
     return rows(spark, d).select("row_id", new.alias("new_split"))
 
 
-@query(f"{CAT} SELECT row_id, CASE WHEN label IS NULL THEN 'held' WHEN label = 0 THEN split ELSE split END AS new_split, CASE WHEN label IS NULL THEN 1 ELSE label END AS new_label FROM cat")
+@query(f"{CAT} SELECT row_id, CASE WHEN label = 2 THEN 'held' ELSE split END AS new_split, CASE WHEN label = 0 THEN 0 ELSE 1 END AS new_label FROM cat")
 def prj_assign_split(spark, d):
-    """Class to (split, label): neither authentic nor wholly generated is held out as generated."""
-    return rows(spark, d).select("row_id", F.when(F.col("label").isNull(), "held").otherwise(F.col("split")).alias("new_split"), F.coalesce("label", F.lit(1)).alias("new_label"))
+    """Class to (split, label): class 0 is authentic, class 2 (altered in part) is held out as generated, all others are generated."""
+    return rows(spark, d).select("row_id", F.when(F.col("label") == 2, "held").otherwise(F.col("split")).alias("new_split"), F.when(F.col("label") == 0, 0).otherwise(1).alias("new_label"))
 
 
 @query("SELECT row_id, path FROM manifest WHERE row_id < 100")

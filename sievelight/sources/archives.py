@@ -6,17 +6,21 @@ exceed ``max_span``. Only stored and deflated members are read, and their checks
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sievelight.sources.readers import _exists
+
 MAX_GAP, MAX_SPAN = 1 << 20, 16 << 20
 #: Signatures and sizes of the ZIP format's records.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -37,9 +41,44 @@ class Entry:
         return self.offset + LOCAL_SIZE + len(self.name.encode()) + 1024 + self.compressed
 
 
+def _opened(path: str):
+    """A file of a local or shared file system, to be read at any place."""
+    if "://" in path or path.startswith("file:"):
+        files, where = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+        return files.open_input_file(where)
+    return open(path, "rb")
+
+
+def write(path: str, data: bytes) -> None:
+    """A file of a local or shared file system."""
+    files, where = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1)) if ":" in path else (fs.LocalFileSystem(), path)
+    files.create_dir(where.rsplit("/", 1)[0], recursive=True)
+    with files.open_output_stream(where) as out:
+        out.write(data)
+
+
+def _size(path: str) -> int:
+    with _opened(path) as f:
+        f.seek(0, 2)
+        return f.tell()
+
+
+INDEX = "name string, method int, compressed bigint, size bigint, offset bigint, crc bigint"
+
+
+def indexed(spark: SparkSession, path: str, kept: str, read: Callable[[str], list[Entry]] | None = None) -> DataFrame:
+    """An archive's directory as a table, kept under the archive's place and size; a directory that is kept already is not read again."""
+    key = hashlib.sha256(f"{path}|{_size(path)}".encode()).hexdigest()
+    where = f"{kept}/{key}"
+    if not _exists(spark, f"{where}/_SUCCESS"):
+        rows = [(e.name, e.method, e.compressed, e.size, e.offset, e.crc) for e in (read or directory)(path)]
+        spark.createDataFrame(rows, INDEX).write.mode("overwrite").parquet(where)
+    return spark.read.schema(INDEX).parquet(where)
+
+
 def directory(path: str) -> list[Entry]:
     """All members, in the order of the central directory; 64-bit extensions are understood."""
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         f.seek(0, 2)
         size = f.tell()
         tail_at = max(0, size - END_SIZE - 65535)
@@ -129,7 +168,7 @@ class ZipReader(DataSourceReader):
 
     def read(self, partition: Span) -> Iterator[tuple]:
         start = partition.entries[0].offset
-        with open(self.path, "rb") as f:
+        with _opened(self.path) as f:
             f.seek(start)
             data = f.read(max(e.end() for e in partition.entries) - start)
         for e in partition.entries:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,18 @@ def repository_files(listing: list[dict]) -> list[tuple[str, int]]:
     return [(e["Path"], int(e.get("Size") or 0)) for e in listing if e.get("Type") != "tree"]
 
 
+def repository_listing(spark: SparkSession, page: Callable[[int], list[dict]], kept: str) -> DataFrame:
+    """(path, bytes) of a repository's files. ``page`` gives the entries of page 1, 2, ... until one is empty; what was read is kept as a table, which later calls read instead."""
+    schema = "path string, bytes bigint"
+    if not _exists(spark, f"{kept}/_SUCCESS"):  # which is written last
+        found, number = [], 1
+        while entries := page(number):
+            found += repository_files(entries)
+            number += 1
+        spark.createDataFrame(found, schema).write.mode("overwrite").parquet(kept)
+    return spark.read.schema(schema).parquet(kept)
+
+
 def config(text_or_path: str, overrides: list[str] = ()) -> dict:
     """A JSON configuration with dotted overrides such as 'a.b=3'; values are read as int, float, bool, null or text."""
     text = open(text_or_path).read() if os.path.exists(text_or_path) else text_or_path

@@ -12,13 +12,13 @@ EXACT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteS
 
 
 def manifest_csv(rows: DataFrame, path: str) -> None:
-    """Fixed columns, ordered by source, split and path over all files."""
-    rows.select(*MANIFEST_COLUMNS).orderBy("source", "split", "path").write.options(**EXACT).csv(path)
+    """Fixed columns, ordered by source, split and path over all files; a missing text is an empty one in such files."""
+    rows.select(*MANIFEST_COLUMNS).orderBy(*[F.coalesce(c, F.lit("")) for c in ("source", "split", "path")]).write.options(**EXACT).csv(path)
 
 
 def split_manifests(rows: DataFrame, path: str) -> None:
-    """One folder per split."""
-    rows.write.partitionBy("split").parquet(path)
+    """Manifest files in one folder per split."""
+    rows.select(*MANIFEST_COLUMNS).write.partitionBy("split").options(**EXACT).csv(path)
 
 
 def _probability(p: str):
