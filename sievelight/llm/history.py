@@ -240,10 +240,18 @@ class History:
         rows = rows.withColumn("v", F.lit(self.version + 1)).select(*columns)
         (rows.repartition(self.buckets, by) if by else rows).write.insertInto(f"{self.name}_{kind}")
 
-    def accept(self, accepted: DataFrame) -> None:
-        """Add the keys of accepted signatures (row_id, sha, ph): one row per distinct SHA-256 and perceptual hash, and the packed slots."""
-        shas = accepted.where(F.col("sha").isNotNull()).groupBy("sha").agg(F.min("row_id").alias("row_id"), F.min_by("ph", "row_id").alias("ph"))
-        hashes = accepted.where(F.col("ph").isNotNull()).groupBy("ph").agg(F.min("row_id").alias("row_id"), F.min_by(F.xxhash64("sha"), F.when(F.col("sha").isNotNull(), F.col("row_id"))).alias("s64"))
+    def accept(self, accepted: DataFrame, copies: bool = False) -> None:
+        """Add the keys of accepted rows (row_id, sha, ph): one row per distinct SHA-256 and perceptual hash, and the packed slots.
+
+        Of a delivery's accepted rows no two share a hash; only the rows a history begins with may hold ``copies``.
+        """
+        s64 = F.when(F.col("sha").isNotNull(), F.xxhash64("sha"))
+        shas, hashes = accepted.where(F.col("sha").isNotNull()), accepted.where(F.col("ph").isNotNull())
+        if copies:
+            shas = shas.groupBy("sha").agg(F.min("row_id").alias("row_id"), F.min_by("ph", "row_id").alias("ph"))
+            hashes = hashes.groupBy("ph").agg(F.min("row_id").alias("row_id"), F.min_by(s64, F.when(F.col("sha").isNotNull(), F.col("row_id"))).alias("s64"))
+        else:
+            hashes = hashes.withColumn("s64", s64)
         self._add(SAME, shas)
         self._add(ROWS, hashes)
         self._add(NEAR, hamming.packed(accepted, "ph", self.plan))
@@ -254,7 +262,8 @@ class History:
         """Of a delivery (``identified``): its signatures, those of them that are accepted, and the links of the others (t, to, score)."""
         grouped = rows.groupBy("sha", "ph").agg(F.min("t").alias("t"), F.count("*").alias("n"))
         signatures = scratch.put(grouped.withColumn("row_id", order.row(F.col("t"))), "signatures")
-        probe = scratch.put(hamming.packed(signatures, "ph", self.plan).groupBy("slot").agg(F.collect_list("phs").alias("new")), "probe")
+        by_slot = hamming.packed(signatures, "ph", self.plan).repartition(self.buckets, "slot").groupBy("slot")
+        probe = scratch.put_bucketed(by_slot.agg(F.collect_list("phs").alias("new")), "probe", "slot", self.buckets)
         links = scratch.put(self._old_links(signatures, probe, scratch), "links")
         counts = _patterns(links)
         self.counts = {k: self.counts.get(k, 0) + counts.get(k, 0) for k in self.counts | counts}
@@ -421,7 +430,7 @@ def begin(rows: DataFrame, linked: bool = False, path: str | None = None) -> His
     n = known.count()
     blocks = hamming.plan_for(n).blocks
     history = History(spark, path, n, hamming.crowded_blocks(known, "ph", blocks), blocks)
-    history.accept(known)
+    history.accept(known, copies=True)
     if linked:
         signatures = scratch.put(known.groupBy("sha", "ph").agg(F.min("t").alias("t"), F.count("*").alias("n")).withColumn("row_id", order.row(F.col("t"))), "signatures")
         probe = hamming.packed(signatures, "ph", history.plan).groupBy("slot").agg(F.collect_list("phs").alias("new"))

@@ -1,10 +1,13 @@
 """Evaluation texts that leak into training text.
 
-A document's words are cut into windows as long as the shortest passage that counts (WINDOW words), at every position, and
-so are the items. Each window has a SimHash of 64 bits over its words; as equal windows have equal fingerprints and alike
-ones near fingerprints, all window pairs within RADIUS bits are candidates: the fingerprint falls into RADIUS + 1 blocks, of
-which one must be equal. A candidate is verified exactly: the weighted similarity of its shingles (five words, weighted by
-their rarity among the items) must be 1 and its words the same, in order.
+Items are cut into windows, and so are a document's words, at every position. Each window has a SimHash of 64 bits over its
+words; as alike windows have near fingerprints, all window pairs within a radius are candidates: the fingerprint falls into
+radius + 1 blocks, of which one must be equal, so no pair within the radius is missed. A candidate is verified by the weighted
+similarity of its shingles (five words, weighted by their rarity among the items): it is a leak from SIMILAR on.
+
+``near_leaks`` takes windows of the items' sizes: lengths fall into classes a quarter apart, and an item is searched by its
+windows of the longest class that it fills. So edited passages are found as well. ``leaks`` takes windows of the shortest
+passage that counts (WINDOW words), and of the verified candidates those whose words are the same, in order.
 
 The items, which do not grow, are broadcast in blocks of at most MOST_WINDOWS windows; each block is one pass over the
 documents, with no shuffle. So the work follows the documents' length, and a document of any length is one row.
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SHINGLE, RADIUS = 12, 5, 3
+#: Least similarity of shingles, and the radius within which windows of an item's size are compared.
+SIMILAR, NEAR_RADIUS = 0.8, 7
 #: Item windows in one broadcast: below 16 MB.
 MOST_WINDOWS = 100_000
 #: Words of which a task holds bit counts at once.
@@ -51,42 +56,42 @@ def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class ItemWindows:
-    """All windows of a block of items, found by fingerprint."""
+    """All windows of one length of a block of items, found by fingerprint."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]) -> None:
-        prints, rows, ids = [], [], []
+    def __init__(self, items: list[tuple[int, np.ndarray]], window: int = WINDOW, radius: int = RADIUS) -> None:
+        self.window, self.radius = window, radius
+        prints, rows, ids = [np.zeros(0, dtype=np.uint64)], [np.zeros((0, window), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for ident, hashes in items:
-            f = fingerprints(hashes)
+            f = fingerprints(hashes, window)
             if len(f):
                 prints.append(f)
-                rows.append(np.lib.stride_tricks.sliding_window_view(hashes, WINDOW))
+                rows.append(np.lib.stride_tricks.sliding_window_view(hashes, window))
                 ids.append(np.full(len(f), ident, dtype=np.int64))
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, dtype=np.uint64)
-        self.rows = np.concatenate(rows) if rows else np.zeros((0, WINDOW), dtype=np.int64)
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
+        self.prints, self.rows, self.ids = np.concatenate(prints), np.concatenate(rows), np.concatenate(ids)
+        self.width = 64 // (radius + 1)
         self.blocks = []
-        width = 64 // (RADIUS + 1)
-        for b in range(RADIUS + 1):
-            key = (self.prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
+        for b in range(radius + 1):
+            key = self._key(self.prints, b)
             order = np.argsort(key, kind="stable")
-            self.blocks.append((np.searchsorted(key[order], np.arange((1 << width) + 1)), order))
-        self.width = width
+            self.blocks.append((np.searchsorted(key[order], np.arange((1 << self.width) + 1)), order))
         # rarity of a shingle: the fewer item windows hold it, the heavier
         self.shingles, counts = np.unique(self._shingle(self.rows).reshape(-1), return_counts=True)
         self.weights = 1.0 / counts
 
-    @staticmethod
-    def _shingle(rows: np.ndarray) -> np.ndarray:
+    def _key(self, prints: np.ndarray, block: int) -> np.ndarray:
+        return ((prints >> np.uint64(block * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+
+    def _shingle(self, rows: np.ndarray) -> np.ndarray:
         """Hashes of the shingles of each window; order within a shingle counts."""
-        out = np.zeros((len(rows), WINDOW - SHINGLE + 1), dtype=np.uint64)
+        out = np.zeros((len(rows), self.window - SHINGLE + 1), dtype=np.uint64)
         for k in range(SHINGLE):
             with np.errstate(over="ignore"):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k : WINDOW - SHINGLE + 1 + k].view(np.uint64)
+                out = out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k : self.window - SHINGLE + 1 + k].view(np.uint64)
                 out ^= out >> np.uint64(29)
         return out
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Weighted share of shingles that two lists of windows have in common, row by row."""
+        """Weighted share of the shingles of a that b holds too, row by row of two lists of windows."""
         x, y = self._shingle(a), self._shingle(b)
         at = np.minimum(np.searchsorted(self.shingles, x), max(len(self.shingles) - 1, 0))
         weight = np.where(self.shingles[at] == x, self.weights[at], 1.0)
@@ -95,34 +100,46 @@ class ItemWindows:
             shared |= x == y[:, k : k + 1]
         return (weight * shared).sum(axis=1) / weight.sum(axis=1)
 
-    def matches(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, window) pairs whose fingerprints lie within RADIUS and whose words are the same."""
-        prints = fingerprints(hashes)
+    def matches(self, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, window) of all pairs within the radius that are similar. ``ends``: where each of the texts laid end to end ends."""
+        none = np.zeros(0, dtype=np.int64)
+        prints = fingerprints(hashes, self.window)
         if not len(prints) or not len(self.prints):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        positions, windows = [], []
+            return none, none
+        # a window that crosses from one text into the next is none
+        start = np.arange(len(prints))
+        start = start[start + self.window <= ends[np.searchsorted(ends, start, side="right")]]
+        prints = prints[start]
+        views = np.lib.stride_tricks.sliding_window_view(hashes, self.window)
+        positions, windows = [none], [none]
         for b, (starts, order) in enumerate(self.blocks):
-            key = ((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+            key = self._key(prints, b)
             first, sizes = starts[key], starts[key + 1] - starts[key]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1])
+            cum = np.cumsum(sizes)
+            total = int(cum[-1]) if len(cum) else 0
             for at in range(0, total, 1 << 20):
                 k = np.arange(at, min(at + (1 << 20), total))
-                p = np.searchsorted(ends, k, side="right")
-                w = order[first[p] + k - (ends[p] - sizes[p])]
-                close = np.bitwise_count(prints[p] ^ self.prints[w]) <= RADIUS
-                positions.append(p[close])
-                windows.append(w[close])
-        if not any(map(len, positions)):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        p, w = np.concatenate(positions), np.concatenate(windows)
-        keep = []
-        views = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-        for at in range(0, len(p), 1 << 16):
-            a, b = views[p[at : at + (1 << 16)]], self.rows[w[at : at + (1 << 16)]]
-            keep.append((self.similarity(b, a) >= 1.0 - 1e-12) & (a == b).all(axis=1))
-        keep = np.concatenate(keep)
-        return p[keep], w[keep]
+                p = np.searchsorted(cum, k, side="right")
+                w = order[first[p] + k - (cum[p] - sizes[p])]
+                x = prints[p] ^ self.prints[w]
+                close = np.bitwise_count(x) <= self.radius
+                for earlier in range(b):  # a pair counts under its first equal block
+                    close &= self._key(x, earlier) != 0
+                p, w = p[close], w[close]
+                for lo in range(0, len(p), 1 << 13):
+                    i, j = start[p[lo : lo + (1 << 13)]], w[lo : lo + (1 << 13)]
+                    alike = self.similarity(self.rows[j], views[i]) >= SIMILAR
+                    positions.append(i[alike])
+                    windows.append(j[alike])
+        return np.concatenate(positions), np.concatenate(windows)
+
+
+def classes(longest: int) -> list[int]:
+    """Window lengths a quarter apart, from WINDOW on."""
+    out = [WINDOW]
+    while out[-1] * 5 // 4 <= longest:
+        out.append(out[-1] * 5 // 4)
+    return out
 
 
 def _blocks(items: DataFrame, ident: str, text: str) -> list[list[tuple[int, np.ndarray]]]:
@@ -138,8 +155,8 @@ def _blocks(items: DataFrame, ident: str, text: str) -> list[list[tuple[int, np.
     return blocks
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc, item, windows): every document that holds WINDOW or more consecutive words of an item; windows counts its matching positions."""
+def _search(documents: DataFrame, items: DataFrame, doc: str, item: str, text: str, make, final) -> DataFrame:
+    """(doc, item, windows) by the indexes that ``make`` gives of a block of items; ``final`` says of (words, positions, index, windows) which count."""
     spark = documents.sparkSession
     hashed = documents.select(F.col(doc).cast("bigint").alias("d"), words(F.col(text)).alias("w")).where(F.size("w") >= WINDOW)
     out = None
@@ -147,23 +164,49 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemWindows(shared.value)
+            indexes = make(shared.value)
             for batch in batches:
                 column = batch.column(1)
                 flat = np.asarray(column.flatten())
                 ends = np.cumsum(np.asarray(column.value_lengths()))
                 docs = np.asarray(batch.column(0))
-                # texts are laid end to end; a window that crosses from one text into the next is none
-                p, w = index.matches(flat)
-                owner = np.searchsorted(ends, p, side="right")
-                inside = p + WINDOW <= ends[owner] if len(p) else np.zeros(0, dtype=bool)
-                p, w, owner = p[inside], w[inside], owner[inside]
-                if not len(p):
-                    continue
-                pairs = np.unique(np.stack([docs[owner], index.ids[w], p], axis=1), axis=0)
-                found, counts = np.unique(pairs[:, :2], axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(counts.astype(np.int64))], names=["d", "i", "windows"])
+                found = []
+                for index in indexes:
+                    p, w = index.matches(flat, ends)
+                    keep = final(flat, p, index, w)
+                    p, w = p[keep], w[keep]
+                    found.append(np.stack([docs[np.searchsorted(ends, p, side="right")], index.ids[w], p], axis=1))
+                pairs = np.unique(np.concatenate(found), axis=0)
+                if len(pairs):
+                    which, counts = np.unique(pairs[:, :2], axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(which[:, 0]), pa.array(which[:, 1]), pa.array(counts.astype(np.int64))], names=["d", "i", "windows"])
 
         part = hashed.mapInArrow(run, "d bigint, i bigint, windows bigint")
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("d").alias(doc), F.col("i").alias(item), "windows")
+
+
+def _same_words(flat: np.ndarray, p: np.ndarray, index: ItemWindows, w: np.ndarray) -> np.ndarray:
+    if not len(p):
+        return np.zeros(0, dtype=bool)
+    views = np.lib.stride_tricks.sliding_window_view(flat, index.window)
+    return np.concatenate([(views[p[at : at + (1 << 16)]] == index.rows[w[at : at + (1 << 16)]]).all(axis=1) for at in range(0, len(p), 1 << 16)])
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc, item, windows): every document that holds WINDOW or more consecutive words of an item; windows counts its matching positions."""
+    return _search(documents, items, doc, item, text, lambda block: [ItemWindows(block)], _same_words)
+
+
+def by_size(block: list[tuple[int, np.ndarray]]) -> list[ItemWindows]:
+    """Indexes of a block's items, each under the longest class of windows that it fills."""
+    lengths = classes(max((len(h) for _, h in block), default=WINDOW))
+    held: dict[int, list] = {}
+    for ident, hashes in block:
+        held.setdefault(max(n for n in lengths if n <= len(hashes)), []).append((ident, hashes))
+    return [ItemWindows(some, n, NEAR_RADIUS) for n, some in sorted(held.items())]
+
+
+def near_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc, item, windows): every document with a window of about an item's size that is similar to one of the item's, edited or not."""
+    return _search(documents, items, doc, item, text, by_size, lambda flat, p, index, w: np.ones(len(p), dtype=bool))

@@ -20,6 +20,7 @@ Defined results: null, empty and ASCII texts are clean; copies are judged alike;
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from sievelight.session import materialise
 
-#: Documents and distinct words that training may see.
-SAMPLE, MOST_WORDS = 20_000, 100_000
+#: Documents and distinct words that training of the bigrams may see, and the most bytes of one.
+SAMPLE, MOST_WORDS, MOST_BYTES = 20_000, 100_000, 200
 BUCKETS = 1 << 14
 #: A word as found in a text: no ASCII white space, at least one character beyond ASCII.
 WORD = r"[^ \t\r\n\f\x0B]*[^\x00-\x7F][^ \t\r\n\f\x0B]*"
@@ -209,7 +210,7 @@ def train(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> Cl
 
 def fit(held: DataFrame) -> Classifier:
     picked = held.orderBy(F.xxhash64("_id")).limit(SAMPLE)
-    counts = leveled(picked).where(F.octet_length("w") <= 200).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
+    counts = leveled(picked).where(F.octet_length("w") <= MOST_BYTES).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(MOST_WORDS)
     return Classifier.train(Counter({r["w"]: r["n"] for r in counts.collect()}))
 
 
@@ -288,11 +289,28 @@ def judged(documents: DataFrame, ident: str = "doc_id", text: str = "text", mode
     )
 
 
+SPACES = re.compile(r"([ \t\r\n\f\x0B]+)")
+
+
 def restored(documents: DataFrame, ident: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
     """(ident, text, whole, chains) of garbled documents: the text with every garbled word restored that can be; whole if all were."""
     bad = judged(documents, ident, text, model)
-    joined = documents.select(ident, F.col(text).alias("_t")).join(bad, ident)
-    fixed = F.aggregate(
-        F.transform(F.split("_t", r"(?<=[ \t\r\n\f\x0B])|(?=[ \t\r\n\f\x0B])"), lambda x: F.coalesce(F.element_at(F.map_from_entries("words"), x), x)), F.lit(""), lambda acc, x: F.concat(acc, x)
-    )
-    return joined.select(ident, fixed.alias("text"), ~F.exists("words", lambda w: w["original"].isNull()), "chains").toDF(ident, "text", "whole", "chains")
+    joined = documents.select(F.col(ident).cast("bigint").alias("_id"), F.col(text).alias("_t")).join(bad.withColumnRenamed(ident, "_id"), "_id").select("_id", "_t", "words", "chains")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, whole = [], []
+            for t, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                good = {w["word"]: w["original"] for w in words if w["original"] is not None}
+                texts.append("".join(good.get(x, x) for x in SPACES.split(t)))
+                whole.append(len(good) == len(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(whole), batch.column(3)], names=["_id", "text", "whole", "chains"])
+
+    return joined.mapInArrow(run, "_id bigint, text string, whole boolean, chains array<string>").toDF(ident, "text", "whole", "chains")
+
+
+def rates(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(chain, documents, whole, rate): per chain the garbled documents it was found in, and in how many every garbled word could be restored."""
+    found = restored(documents, ident, text).select("whole", F.explode("chains").alias("chain"))
+    counts = found.groupBy("chain").agg(F.count("*").alias("documents"), F.count_if("whole").alias("whole"))
+    return counts.select("chain", "documents", "whole", (F.col("whole") / F.col("documents")).alias("rate"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -183,14 +183,24 @@ def day_of(column: str):
     return F.unix_date(F.col(column).cast("date"))
 
 
+def keyed(name: Column) -> Column:
+    """A name as a key that is never null and takes no null for an empty name: null is empty, all others begin with a sign."""
+    return F.coalesce(F.concat(F.lit("="), name), F.lit(""))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Keys back to names."""
+    return rows.withColumn("name", F.when(F.col("name") != "", F.substr("name", F.lit(2))))
+
+
 def manifest_values(manifest: DataFrame) -> DataFrame:
     fields = ("source", "generator")
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("by_field"), F.coalesce(name_of(F.col(f)), F.lit("")).alias("name")) for f in fields]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("by_field"), keyed(name_of(F.col(f))).alias("name")) for f in fields]))
     return manifest.select("width", "height", day_of("added_at").alias("day"), pairs.alias("k")).select("k.*", "day", "width", "height")
 
 
 def prediction_values(predictions: DataFrame) -> DataFrame:
-    return predictions.select(F.lit("condition").alias("by_field"), F.coalesce(F.col("condition"), F.lit("")).alias("name"), day_of("scored_at").alias("day"), "pred")
+    return predictions.select(F.lit("condition").alias("by_field"), keyed(F.col("condition")).alias("name"), day_of("scored_at").alias("day"), "pred")
 
 
 KEYS = ["by_field", "name", "metric"]

@@ -1,9 +1,10 @@
 """Encoding a corpus with a public tokenizer, each distinct word once.
 
 Texts are split into pre-tokens by the tokenizer's pattern, in the JVM. The distinct pre-tokens of the corpus are counted
-with a map-side aggregation, and each is encoded once. Ids come back in two ways: the FREQUENT most frequent short words,
-which make up most of the text and are the only ones that could be hot keys, as a broadcast table of bounded size; all
-others by a shuffle join on the word. Ids are reassembled by position, per document.
+with a map-side aggregation, and each is encoded once. Ids come back in two ways. The most frequent words, which make up most of
+the text, are a broadcast table bounded in words and bytes; their ids are put in place within the document's row. All others
+leave the row with the place they belong to, meet their ids by a shuffle join on the word, and are put in between. A word too
+long for the broadcast may still be in every document: the join spreads the rows of hot words over many tasks.
 
 Defined results: a null and an empty text both give an empty list; strings of special tokens in a text are ordinary text;
 copies are encoded like any other text; other columns are ignored. Decoding is the inverse: ids joined with the table of
@@ -16,16 +17,17 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.operators.skew import hot_buckets, salted_join
 from sievelight.session import materialise
 
-#: Words broadcast, and the most bytes of one; with their ids that is below 4 MB.
-FREQUENT, LONGEST = 20_000, 32
-#: Bits of an id and of its place within a word; the word's place in the text takes the rest of 63.
-ID_BITS, PLACE_BITS = 17, 18
+#: Words broadcast, and bytes of all of them together, at most.
+FREQUENT, FREQUENT_BYTES = 50_000, 4 << 20
 
 #: Fixed value: the pattern that the byte-level vocabularies are split by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -61,17 +63,46 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n bigint, ids array<int>")
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """(_id, ids) of (_id, at, ids): each id travels with its place as one number, so a document's numbers only need sorting."""
-    number = F.transform("ids", lambda x, j: F.shiftleft(F.col("at").cast("bigint"), ID_BITS + PLACE_BITS).bitwiseOR(F.shiftleft(j.cast("bigint"), ID_BITS)).bitwiseOR(x.cast("bigint")))
-    numbers = rows.select("_id", F.explode(number).alias("n")).groupBy("_id").agg(F.sort_array(F.collect_list("n")).alias("ns"))
-    return numbers.select("_id", F.transform("ns", lambda n: n.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")).alias("ids"))
+def frequent_words(coded: DataFrame) -> pa.Table:
+    """(word, ids) of the most frequent words: at most FREQUENT, and no more than fit into FREQUENT_BYTES, shorter ones first among equals."""
+    rows = coded.where(F.octet_length("word") * 16 <= FREQUENT_BYTES).orderBy(F.desc("n"), F.octet_length("word"), "word").limit(FREQUENT).select("word", "ids").toArrow()
+    size = np.cumsum(pc.binary_length(rows["word"]).to_numpy() + 4 * pc.list_value_length(rows["ids"]).to_numpy())
+    return rows.slice(0, int(np.searchsorted(size, FREQUENT_BYTES, side="right")))
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    """The same for words of any number of ids."""
-    whole = rows.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("p"))
-    return whole.select("_id", F.flatten("p.ids").alias("ids"))
+PARTS = "_id {}, ids array<int>, rest array<struct<at:int,word:string>>"
+
+
+def _in_place(split: DataFrame, frequent: pa.Table) -> DataFrame:
+    """(_id, ids, rest): the ids of the frequent words of each document, and its other words with the number of those ids before them."""
+    spark = split.sparkSession
+    shared = spark.sparkContext.broadcast((frequent["word"].combine_chunks().cast(pa.large_string()), frequent["ids"].combine_chunks()))
+    kind = dict(split.dtypes)["_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = shared.value
+        sizes = np.r_[np.asarray(pc.list_value_length(ids)), 0].astype(np.int64)  # the last is that of an unknown word
+        starts, flat = np.r_[np.asarray(ids.offsets)[:-1], 0].astype(np.int64), np.asarray(ids.values)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            words = lists.flatten()
+            places = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists)))]
+            which = pc.index_in(words.cast(pa.large_string()), value_set=known)
+            which = which.fill_null(len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = sizes[which]
+            ends = np.r_[0, np.cumsum(n)]
+            taken = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[which], n)
+            rare = np.flatnonzero(which == len(known))
+            doc = np.searchsorted(places, rare, side="right") - 1
+            at = ends[rare] - ends[places[doc]]
+            cuts = np.searchsorted(rare, places)
+            rest = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), words.take(pa.array(rare)).cast(pa.string())], names=["at", "word"])
+            out = pa.ListArray.from_arrays(pa.array(ends[places].astype(np.int32)), pa.array(flat[taken], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), out, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), rest)], names=["_id", "ids", "rest"])
+
+    return split.mapInArrow(run, PARTS.format(kind))
 
 
 def encode(documents: DataFrame, ident: str = "doc_id", text: str = "text", folder: str | None = None, name: str = "byte_bpe_50k") -> DataFrame:
@@ -79,17 +110,19 @@ def encode(documents: DataFrame, ident: str = "doc_id", text: str = "text", fold
     split = materialise(documents.select(F.col(ident).alias("_id"), pretokens(F.coalesce(F.col(text), F.lit(""))).alias("_words")), "split")
     counted = split.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     coded = materialise(encode_words(counted, vocabulary(folder, name)), "words")
-    frequent = coded.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    frequent = materialise(frequent.select("word", "ids"), "frequent")
-    rare = coded.join(F.broadcast(frequent.select("word")), "word", "left_anti").select("word", "ids")
-    placed = split.select("_id", F.posexplode("_words").alias("at", "word"))
-    known = placed.join(F.broadcast(frequent), "word")
-    met = placed.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(rare, "word")
-    whole = known.select("_id", "at", "ids").unionByName(met.select("_id", "at", "ids"))
-    longest = coded.agg(F.coalesce(F.max(F.size("ids")), F.lit(0))).first()[0]
-    flat = _packed(whole) if longest < 1 << PLACE_BITS else _listed(whole)
-    out = documents.select(F.col(ident).alias("_id")).join(flat, "_id", "left")
-    return out.select(F.col("_id").alias(ident), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    frequent = frequent_words(coded)
+    parts = materialise(_in_place(split, frequent), "parts")
+    # each rare word of a document, in order, with how many ids of frequent words stand before it
+    placed = parts.where(F.size("rest") > 0).select("_id", F.posexplode("rest").alias("i", "r")).select("_id", "i", "r.at", "r.word")
+    hot = hot_buckets(placed, ["word"], coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    met = salted_join(placed, coded.select("word", F.col("ids").alias("more")), ["word"], hot)
+    whole = met.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("i", "at", "more"))).alias("rare"))
+    before = lambda r, k: F.slice("ids", F.when(k == 0, F.lit(1)).otherwise(F.get("rare", k - 1)["at"] + 1), r["at"] - F.when(k == 0, F.lit(0)).otherwise(F.get("rare", k - 1)["at"]))
+    last = F.element_at("rare", -1)["at"]
+    between = F.flatten(F.transform("rare", lambda r, k: F.concat(before(r, k), r["more"])))
+    full = F.concat(between, F.slice("ids", last + 1, F.size("ids") - last))
+    mixed = parts.where(F.size("rest") > 0).select("_id", "ids").join(whole, "_id").select("_id", full.alias("ids"))
+    return parts.where(F.size("rest") == 0).select("_id", "ids").unionByName(mixed).select(F.col("_id").alias(ident), "ids")
 
 
 def decode(encoded: DataFrame, ident: str = "doc_id", folder: str | None = None, name: str = "byte_bpe_50k") -> DataFrame:

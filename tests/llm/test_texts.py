@@ -39,7 +39,7 @@ def test_decoding_inverts_and_rare_words_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(tokens, "FREQUENT", 2)
     encoded = tokens.encode(docs(spark, TEXTS))
     ids = {r["doc_id"]: r["ids"] for r in encoded.collect()}
-    monkeypatch.setattr(tokens, "PLACE_BITS", 1)  # words with more ids than that take no packed numbers
+    monkeypatch.setattr(tokens, "FREQUENT_BYTES", 0)  # no word is broadcast
     assert ids == {r["doc_id"]: r["ids"] for r in tokens.encode(docs(spark, TEXTS)).collect()}
     back = {r["doc_id"]: r["text"] for r in tokens.decode(encoded).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
@@ -57,6 +57,50 @@ def plain_leaks(documents, items):
     return {(i, j) for i, t in documents for j, g in of.items() if grams(words(t)) & g}
 
 
+def test_hot_words_beyond_the_broadcast(spark, monkeypatch):
+    """A long word in every document is no hot key of one task, and ids stay in order."""
+    from sievelight.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_SHARE", 1_000_000_000)
+    rule = "-" * 300
+    texts = [f"{rule} a{i} {rule}\n\n b {rule}" for i in range(400)]
+    want = {r["doc_id"]: r["ids"] for r in tokens.encode(docs(spark, texts)).collect()}
+    monkeypatch.setattr(tokens, "FREQUENT_BYTES", 200)
+    seen = []
+    monkeypatch.setattr(tokens, "hot_buckets", lambda *a: seen.append(skew.hot_buckets(*a)) or seen[-1])
+    assert want == {r["doc_id"]: r["ids"] for r in tokens.encode(docs(spark, texts)).collect()} and seen[0]
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(j, some(rng.choice([12, 20, 34, 50, 88]))) for j in range(40)]
+    documents = []
+    for i in range(300):
+        ws = list(items[rng.randrange(40)][1])
+        for _ in range(rng.choice([0, 1, 1, 2])):  # a word replaced, dropped or put in
+            at = rng.randrange(len(ws))
+            ws[at : at + rng.choice([0, 1, 1])] = some(rng.choice([0, 1, 1]))
+        documents.append((i, some(rng.randint(0, 40)) + ws + some(rng.randint(0, 40)) if rng.random() < 0.7 else some(80)))
+    d = spark.createDataFrame([(i, " ".join(ws)) for i, ws in documents], "doc_id bigint, text string")
+    it = spark.createDataFrame([(j, " ".join(ws)) for j, ws in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.near_leaks(d, it).collect()}
+    # brute force: every window against every window of the item's class, by the same similarity
+    number = {w: k for k, w in enumerate(sorted({w for _, ws in items + documents for w in ws}))}
+    code = np.random.default_rng(1).integers(-(2**62), 2**62, len(number))
+    hashed = lambda ws: code[[number[w] for w in ws]]
+    want = set()
+    for index in leaks.by_size([(j, hashed(ws)) for j, ws in items]):
+        for i, ws in documents:
+            if len(ws) >= index.window:
+                views = np.lib.stride_tricks.sliding_window_view(hashed(ws), index.window)
+                for k, row in enumerate(index.rows):
+                    if (index.similarity(np.broadcast_to(row, views.shape).copy(), views) >= leaks.SIMILAR).any():
+                        want.add((i, int(index.ids[k])))
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
+
+
 def test_leaks_are_those_of_the_plain_loop(spark, monkeypatch):
     monkeypatch.setattr(leaks, "MOST_WINDOWS", 40)  # several blocks
     rng = random.Random(9)
