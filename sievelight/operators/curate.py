@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.normal import name_of, phash_of, sha256_of, split_of
+from sievelight.operators.hotkeys import exact_quantiles
 from sievelight.session import materialise
 
 #: Which split keeps a record that lies in several; the strictest first.
@@ -44,14 +45,18 @@ def rank_of_split() -> Column:
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("source", "split", "label").agg(
+    """Per source, split and label; medians come from counts of values, so no group, however large, is gathered."""
+    keyed = rows.withColumn("_k", F.to_json(F.struct("source", "split", "label")))  # never null, and tells a missing part from an empty one
+    out = keyed.groupBy("_k", "source", "split", "label").agg(
         F.count("*").alias("n"),
-        F.median("width").alias("median_width"),
-        F.median("height").alias("median_height"),
         F.min(F.least("width", "height")).alias("min_side"),
         F.max(F.greatest("width", "height")).alias("max_side"),
         F.count_distinct("generator").alias("generators"),
     )
+    for side in ("width", "height"):
+        median = exact_quantiles(keyed.select("_k", side), ["_k"], side, [0.5]).select("_k", F.col("quantile").alias(f"median_{side}"))
+        out = out.join(median, "_k", "left")
+    return out.drop("_k")
 
 
 def straddling(rows: DataFrame) -> DataFrame:
@@ -103,12 +108,11 @@ def class_balance(rows: DataFrame) -> DataFrame:
 def violations(manifest: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(rule, n) of every rule that is broken; ``near`` are the rows near evaluation-only images, if they were looked for."""
     rows = catalog(manifest)
-    raw = manifest.join(rows.select("row_id", F.col("split").alias("_split"), F.col("sha").alias("_sha")), "row_id")
-    simple = raw.agg(
+    simple = rows.agg(
         F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("label"),
-        F.count_if(F.col("_split").isNull()).alias("split"),
+        F.count_if(F.col("split").isNull()).alias("split"),
         F.count_if((F.col("width") <= 0) | (F.col("height") <= 0)).alias("size"),
-        F.count_if(F.col("_sha").isNull()).alias("sha256"),
+        F.count_if(F.col("sha").isNull()).alias("sha256"),
     ).unpivot([], ["label", "split", "size", "sha256"], "rule", "n")
     counted = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
     out = simple.unionByName(counted(straddling(rows), "leakage")).unionByName(counted(quarantined_by_sha(rows), "contamination_sha256"))

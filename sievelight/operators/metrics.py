@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sievelight.session import materialise
+
 #: Bins of the running sums.
 CURVE_BINS = 1024
 EXPERTS = ("community_forensics", "dinov3_l", "dinov3_b")
@@ -41,9 +43,18 @@ def scores(predictions: DataFrame, manifest: DataFrame, experts: tuple[str, ...]
     return long.where(valid(F.col("p")))
 
 
+def histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, pos, neg): rows of each class per distinct score. Written once; all metrics are sums over it."""
+    counted = rows.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return materialise(counted, "scores")
+
+
 def curve(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, p, pos, neg, tp, fp): per distinct score, rows of each class at it and at or above it."""
-    counted = rows.groupBy(*keys, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return _curve(histogram(rows, keys), keys)
+
+
+def _curve(counted: DataFrame, keys: list[str]) -> DataFrame:
     binned = counted.withColumn("_bin", F.floor(F.col("p") * CURVE_BINS))
     above = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     sums = binned.groupBy(*keys, "_bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -55,8 +66,12 @@ def curve(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def separation(rows: DataFrame, keys: list[str], rates: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
     """(keys, n, n_real, n_fake, roc_auc, average_precision, tpr and threshold at each false positive rate)."""
-    points = curve(rows, keys)
-    sums = points.groupBy(*keys).agg(F.sum("pos").alias("n_fake"), F.sum("neg").alias("n_real"))
+    return _separation(histogram(rows, keys), keys, rates)
+
+
+def _separation(counted: DataFrame, keys: list[str], rates: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
+    points = _curve(counted, keys)
+    sums = counted.groupBy(*keys).agg(F.sum("pos").alias("n_fake"), F.sum("neg").alias("n_real"))
     joined = points.join(sums, keys) if keys else points.crossJoin(F.broadcast(sums))
     both = (F.col("n_fake") > 0) & (F.col("n_real") > 0)
     agg = [
@@ -87,13 +102,15 @@ def roc_auc(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def compute(rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """All metrics of a group in one row: class counts and means, accuracy, and those of ``separation``."""
-    right = F.when(F.col("p") >= threshold, 1).otherwise(0) == F.col("y")
-    simple = rows.groupBy(*keys).agg(
-        F.round(exact_mean(F.when(F.col("y") == 0, F.col("p"))), 9).alias("mean_score_real"),
-        F.round(exact_mean(F.when(F.col("y") == 1, F.col("p"))), 9).alias("mean_score_fake"),
-        F.round(F.count_if(right) / F.count("*"), 9).alias("accuracy"),
+    counted = histogram(rows, keys)
+    exact = F.col("p").cast("decimal(24,6)")
+    mean = lambda n: F.round(F.sum((exact * F.col(n).cast("decimal(13,0)")).cast("decimal(38,6)")).cast("double") / F.nullif(F.sum(n), F.lit(0)), 9)
+    simple = counted.groupBy(*keys).agg(
+        mean("neg").alias("mean_score_real"),
+        mean("pos").alias("mean_score_fake"),
+        F.round(F.sum(F.when(F.col("p") >= threshold, F.col("pos")).otherwise(F.col("neg"))) / F.sum(F.col("pos") + F.col("neg")), 9).alias("accuracy"),
     )
-    return separation(rows, keys).join(simple, keys)
+    return _separation(counted, keys).join(simple, keys)
 
 
 def confusion(rows: DataFrame, keys: list[str], thresholds: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7, 0.9)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions import images as I
+from sievelight.functions import scores as P
 
 Scorer = Callable[[list[np.ndarray]], np.ndarray]
 _FACTORIES: dict[str, Callable[..., Scorer]] = {}
@@ -67,6 +68,50 @@ def mlp(weights: list | None = None) -> Scorer:
     return score
 
 
+def ensemble(rows: DataFrame, config: dict) -> DataFrame:
+    """(row_id, score, one column per expert): several registered scorers, fused and calibrated as a configuration says.
+
+    ``experts`` gives each its ``model`` (by default its name; not another ensemble) and options; ``fusion`` the mode, weights, tree
+    and gate of ``scores.fuse``; ``calibration`` a temperature. Each image is decoded once for all experts; fusion stays in
+    generated code. An image that has no score has none from any expert.
+    """
+    experts = config.get("experts") or {}
+    if not experts:
+        raise ValueError("an ensemble needs experts")
+    if any(options.get("model", name) == "ensemble" for name, options in experts.items()):
+        raise ValueError("an ensemble holds no ensemble")
+    names = list(experts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [get(options.get("model", name), **{k: v for k, v in options.items() if k != "model"}) for name, options in experts.items()]
+        for batch in batches:
+            good, images = _readable(batch)
+            columns = []
+            for scorer in scorers:
+                found = np.full(batch.num_rows, np.nan)
+                if images:
+                    found[good] = checked(scorer, images)
+                columns.append(pa.array(found, from_pandas=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row_id", *names])
+
+    scored = rows.select("row_id", "pixels", "side").mapInArrow(run, ", ".join(["row_id bigint", *[f"`{n}` double" for n in names]]))
+    fusion = dict(config.get("fusion") or {})
+    gate = fusion.get("gate")
+    fused = P.fuse({n: F.col(f"`{n}`") for n in names}, fusion.get("mode", "mean"), fusion.get("weights"), fusion.get("tree"), P.Gate(**gate) if gate else None)
+    t = (config.get("calibration") or {}).get("temperature")
+    return scored.select("row_id", (P.temperature(fused, float(t)) if t else fused).alias("score"), *[f"`{n}`" for n in names])
+
+
+def _readable(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
+    """The places of a batch's readable images, and these."""
+    good, images = [], []
+    for k, (p, s) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        if p is not None and s and len(p) % s == 0 and p:
+            good.append(k)
+            images.append(np.array(p, dtype=np.uint8).reshape(s, -1, 1))
+    return good, images
+
+
 def checked(scorer: Scorer, images: list[np.ndarray]) -> np.ndarray:
     """Scores of the right number, finite and within [0, 1]; else an error."""
     out = np.asarray(scorer(images), dtype=np.float64)
@@ -102,7 +147,7 @@ def each(rows: DataFrame, f: Callable[[int, np.ndarray], dict], schema: str) ->
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<array<int>>": pa.list_(pa.list_(pa.int32()))}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
@@ -112,12 +157,8 @@ def score(rows: DataFrame, name: str, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = get(name, **options)
         for batch in batches:
-            ids, good = batch.column(0), []
-            images = []
-            for k, (p, s) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if p is not None and s and len(p) % s == 0 and p:
-                    good.append(k)
-                    images.append(np.array(p, dtype=np.uint8).reshape(s, -1, 1))
+            ids = batch.column(0)
+            good, images = _readable(batch)
             found = np.full(batch.num_rows, np.nan)
             if images:
                 found[good] = checked(scorer, images)

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from sievelight.operators import metrics as M
 from sievelight.operators import selection as S
+from sievelight.session import materialise
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -287,8 +288,64 @@ def agg_corr(spark, d):
     return w.select(F.round(F.corr(a, b), 7).alias("cf_l"), F.round(F.corr(a, c), 7).alias("cf_b"), F.round(F.corr(b, c), 7).alias("l_b"))
 
 
-@query(f"""{COMPUTE}, w AS (SELECT expert, 2 * roc_auc - 1 AS weight FROM comp) SELECT expert, round(weight, 8) AS weight, round(abs(weight) / sum(abs(weight)) OVER (), 8) AS share FROM w""")
+def development(spark, d) -> DataFrame:
+    """Clean scorings with a label and all three scores; folds keep sources and generators together."""
+    from sievelight.operators.candidates import CALIBRATION, FOLDS, INNER
+    from sievelight.plans.fusion import wide
+
+    group = F.concat_ws(" / ", F.coalesce("source", F.lit("unknown")), F.coalesce("generator", F.lit("unknown")))
+    some = wide(spark, d).where("condition = 'clean' AND y IS NOT NULL").withColumn("g", group)
+    inner = S.hash_number(1337, F.lit("inner:"), F.col("g")) % (INNER * CALIBRATION)
+    return some.select("row_id", "y", *M.EXPERTS, (S.hash_number(1337, F.col("g")) % FOLDS).alias("fold"), inner.alias("inner"))
+
+
+DEV = f"""WITH {LATEST}, dev AS (SELECT l.row_id, CAST(m.label AS INT) AS y, community_forensics AS a, dinov3_l AS b, dinov3_b AS c,
+ CAST('0x' || left(sha256('1337:' || coalesce(m.source, 'unknown') || ' / ' || coalesce(m.generator, 'unknown')), 8) AS BIGINT) % 5 AS fold
+ FROM latest l JOIN manifest m USING (row_id) WHERE condition = 'clean' AND m.label IN (0, 1) AND {' AND '.join(f'{e} IS NOT NULL AND NOT isnan({e}) AND {e} BETWEEN 0 AND 1' for e in M.EXPERTS)})"""
+
+
+@query(f"""{DEV}, k AS (SELECT i, j FROM (SELECT unnest(range(0, 11)) AS i), (SELECT unnest(range(0, 11)) AS j) WHERE i + j <= 10), f AS (SELECT unnest(range(0, 5)) AS held),
+l AS (SELECT held, i, j, round(-sum(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS loss FROM (SELECT held, i, j, y, least(greatest(i / 10.0::DOUBLE * a + j / 10.0::DOUBLE * b + (10 - i - j) / 10.0::DOUBLE * c, 1e-7), 1 - 1e-7) AS p FROM dev, f, k WHERE fold <> held) GROUP BY 1, 2, 3),
+w AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY held ORDER BY loss, i, j) = 1)
+SELECT row_id, fold, 'equal_average' AS model, y, round((a + b + c) / 3, 6) AS p FROM dev
+UNION ALL SELECT row_id, fold, 'constrained_mean', y, round(i / 10.0::DOUBLE * a + j / 10.0::DOUBLE * b + (10 - i - j) / 10.0::DOUBLE * c, 6) FROM dev JOIN w ON held = fold""")
+def ml_oof(spark, d):
+    """Scores of the two candidates that SQL can fit, by models fitted on the other folds."""
+    from sievelight.operators.candidates import out_of_fold
+
+    return out_of_fold(development(spark, d), list(M.EXPERTS), ["equal_average", "constrained_mean"]).withColumn("p", F.round("p", 6))
+
+
+@query()
+def ml_cv_fusion(spark, d):
+    """The candidates fitted by sums over five folds and five thresholds, with an inner grid; means, deviations and errors of every metric."""
+    from sievelight.operators.candidates import CANDIDATES, out_of_fold
+
+    names = [c.name for c in CANDIDATES.values() if c.kind != "library"]
+    return S.cv_summary(materialise(out_of_fold(development(spark, d), list(M.EXPERTS), names), "out_of_fold"), ("model",))
+
+
+@query()
+def ml_cv_library(spark, d):
+    """The same for the candidates of Spark's library, trees and a small network."""
+    from sievelight.operators.candidates import CANDIDATES, out_of_fold
+
+    names = [c.name for c in CANDIDATES.values() if c.kind == "library"]
+    return S.cv_summary(materialise(out_of_fold(development(spark, d), list(M.EXPERTS), names), "out_of_fold"), ("model",))
+
+
+@query()
 def ml_feature_importance(spark, d):
+    """What the logistic candidate and the one with splines owe to each expert."""
+    from sievelight.operators.candidates import importance
+
+    data = materialise(development(spark, d), "development")
+    both = [importance(data, list(M.EXPERTS), name).withColumn("model", F.lit(name)) for name in ("logistic", "splines")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""{COMPUTE}, w AS (SELECT expert, 2 * roc_auc - 1 AS weight FROM comp) SELECT expert, round(weight, 8) AS weight, round(abs(weight) / sum(abs(weight)) OVER (), 8) AS share FROM w""")
+def ml_separation_share(spark, d):
     """Shares of absolute weights; the weights are each expert's separation, twice its AUC less one."""
     w = M.roc_auc(clean(spark, d), ["expert"]).select("expert", (2 * F.col("roc_auc") - 1).alias("weight"))
     whole = Window.partitionBy(F.lit(0))  # one row per expert

@@ -158,6 +158,30 @@ def inc_invalidate(spark, d):
     return spark.createDataFrame([(v, R.resume(pending(spark, d), scorer, path, "m", "mean_intensity", v)) for v in ("clean", "jpeg60")], "variant string, added bigint")
 
 
+@query("""WITH l AS (SELECT path, max(CAST(width AS BIGINT) * height) AS bytes FROM manifest WHERE path IS NOT NULL GROUP BY 1), h AS (SELECT path, max(CAST(width AS BIGINT) * height) AS have FROM manifest WHERE batch_no < 3 AND path IS NOT NULL GROUP BY 1)
+SELECT l.path, l.bytes FROM l LEFT JOIN h USING (path) WHERE have IS NULL OR have < bytes""")
+def inc_download_resume(spark, d):
+    """What of a listing is not there yet, or only in part; sizes in pixels stand for bytes."""
+    listing = manifest(spark, d).select("path", (F.col("width").cast("bigint") * F.col("height")).alias("bytes"), "batch_no")
+    return R.missing_files(listing, listing.where("batch_no < 3"))
+
+
+@query("SELECT vec_id AS row_id, v AS variant, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings, (SELECT unnest(['clean', 'mild']) AS v)")
+def sink_feature_cache(spark, d):
+    """Vectors kept under (manifest, model, variant) in two runs and read again; a variant that isn't kept is an error."""
+    path = place(spark, "features")
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit("m").alias("manifest"), F.lit("v").alias("model"), F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    for v in ("clean", "mild"):
+        sinks.append_features(vectors.withColumn("variant", F.lit(v)), path)
+    try:
+        readers.feature_cache(spark, path, "m", "v", ["clean", "heavy"])
+        raise AssertionError("a missing cache went unnoticed")
+    except FileNotFoundError:
+        pass
+    read = readers.feature_cache(spark, path, "m", "v", ["clean", "mild"])
+    return read.select("row_id", "variant", F.size("vector").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def ext_stream_windows(spark, d):
     """Daily windows of the event stream, run as a batch; the same function takes the stream."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions import images as I
 from sievelight.operators import scoring as S
+from sievelight.session import shared_dir
+from sievelight.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,11 +113,83 @@ def img_multicrop(spark, d):
     return S.each(rows(spark, d), lambda i, x: {"crops": [[int(v) for v in c.reshape(-1)] for c in I.crops(x, 12, 3, I.generator(1337, i, "crops"))]}, "crops array<array<int>>")
 
 
+def folder(spark, d) -> str:
+    """All images as PNG files in the shared folder, one of each ten with an upper-case suffix, and as many texts beside them."""
+    from sievelight.functions.headers import png
+    from sievelight.sources import sinks
+
+    root = f"{shared_dir(spark)}/sievelight/images-{uuid.uuid4().hex}"
+    files = S.each(rows(spark, d), lambda i, x: {"content": png(x)}, "content binary")
+    name = F.concat("row_id", F.when(F.col("row_id") % 10 == 0, F.lit(".PNG")).otherwise(F.lit(".png")))
+    named = files.select(F.concat(F.lit("g"), F.col("row_id") % 3).alias("folder"), name.alias("name"), "content")
+    texts = rows(spark, d).select(F.lit("texts").alias("folder"), F.concat("row_id", F.lit(".txt")).alias("name"), F.lit(b"no image").alias("content"))
+    sinks.image_bytes(named.unionByName(texts), root)
+    return root
+
+
+FILE = "'g' || (vec_id % 3) || '/' || vec_id || CASE WHEN vec_id % 10 = 0 THEN '.PNG' ELSE '.png' END"
+
+
+def tail() -> Column:
+    return F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("file")
+
+
+@query(f"SELECT {FILE} AS file FROM embeddings")
+def src_image_dir(spark, d):
+    """The image files below a folder, whatever the case of their suffix."""
+    return readers.image_files(spark, folder(spark, d)).select(tail())
+
+
+@query(f"SELECT {FILE} AS file, CAST(8 AS INT) AS width, CAST(8 AS INT) AS height FROM embeddings")
+def src_image_size(spark, d):
+    """Sizes from the files' headers."""
+    return readers.image_sizes(spark, folder(spark, d)).select(tail(), "width", "height")
+
+
+@query(f"{PIX} SELECT {FILE.replace('vec_id', 'row_id')} AS file, p AS pixels, CAST(NULL AS VARCHAR) AS error FROM x")
+def src_image_decode(spark, d):
+    """Pixels of all files, decoded."""
+    found = readers.decoded_images(spark, folder(spark, d) + "/g*")
+    level = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, 1)), 16, 10).cast("int"))
+    return found.select(tail(), level.alias("pixels"), "error")
+
+
+@query("SELECT count(*) AS errors, true AS all_texts FROM embeddings")
+def src_image_decode_safe(spark, d):
+    """Files that are no images are rows with an error."""
+    bad = readers.decoded_images(spark, folder(spark, d)).where("error IS NOT NULL AND pixels IS NULL")
+    return bad.agg(F.count("*").alias("errors"), F.bool_and(F.col("path").endswith(".txt")).alias("all_texts"))
+
+
+@query(f"SELECT {FILE} AS what, 'image' AS kind FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT * FROM (VALUES ('texts', 'no images'), ('nowhere', 'not found'), ('README.md', 'not found'))")
+def src_paths_args(spark, d):
+    """What a user names: a folder (twice), one without images, and names that aren't there."""
+    root = folder(spark, d)
+    paths, problems = readers.path_arguments(spark, [f"{root}/g0", f"{root}/texts", f"{root}/nowhere", f"{root}/g0", f"{root}/README.md"])
+    found = spark.createDataFrame([(p, "image") for p in paths] or [("", "")], "path string, kind string").where("kind = 'image'").select(tail().alias("what"), "kind")
+    return found.unionByName(spark.createDataFrame([(n.rsplit("/", 1)[1], why) for n, why in problems], "what string, kind string"))
+
+
 @query("SELECT vec_id AS row_id, CAST(0.25 AS DOUBLE) AS score FROM embeddings")
 def udf_scorer(spark, d):
     return S.score(rows(spark, d), "constant", value=0.25)
 
 
+@query(f"""{PIX}, e AS (SELECT row_id, CAST(list_sum(p) AS DOUBLE) / 64 / 255 AS light FROM x), f AS (SELECT row_id, light, (3 * light + 0.25) / 4 AS s FROM e)
+SELECT row_id, round(light, 8) AS light, CAST(0.25 AS DOUBLE) AS flat, round(1 / (1 + exp(-ln(s / (1 - s)) / 1.5)), 8) AS score FROM f""")
+def udf_scorer_config(spark, d):
+    """An ensemble of two registered scorers as configured: weights and a temperature."""
+    config = {"experts": {"light": {"model": "mean_intensity"}, "flat": {"model": "constant", "value": 0.25}}, "fusion": {"mode": "weighted", "weights": {"light": 3.0}}, "calibration": {"temperature": 1.5}}
+    out = S.ensemble(rows(spark, d), config)
+    return out.select("row_id", F.round("light", 8).alias("light"), "flat", F.round("score", 8).alias("score"))
+
+
+@query("SELECT unnest(['blur', 'crop', 'jitter', 'jpeg', 'noise', 'resize']) AS family")
+def udf_family(spark, d):
+    """The registered degradations; the cells of the grid name no other."""
+    return spark.createDataFrame([(f,) for f in sorted(I.FAMILIES)], "family string")
+
+
 @query()
 def fn_layernorm_mlp(spark, d):
     return S.score(rows(spark, d), "mlp")

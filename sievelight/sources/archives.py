@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sievelight.sources.files import opened, write
 from sievelight.sources.readers import _exists
 
 MAX_GAP, MAX_SPAN = 1 << 20, 16 << 20
@@ -41,24 +41,8 @@ class Entry:
         return self.offset + LOCAL_SIZE + len(self.name.encode()) + 1024 + self.compressed
 
 
-def _opened(path: str):
-    """A file of a local or shared file system, to be read at any place."""
-    if "://" in path or path.startswith("file:"):
-        files, where = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
-        return files.open_input_file(where)
-    return open(path, "rb")
-
-
-def write(path: str, data: bytes) -> None:
-    """A file of a local or shared file system."""
-    files, where = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1)) if ":" in path else (fs.LocalFileSystem(), path)
-    files.create_dir(where.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(where) as out:
-        out.write(data)
-
-
 def _size(path: str) -> int:
-    with _opened(path) as f:
+    with opened(path) as f:
         f.seek(0, 2)
         return f.tell()
 
@@ -78,7 +62,7 @@ def indexed(spark: SparkSession, path: str, kept: str, read: Callable[[str], lis
 
 def directory(path: str) -> list[Entry]:
     """All members, in the order of the central directory; 64-bit extensions are understood."""
-    with _opened(path) as f:
+    with opened(path) as f:
         f.seek(0, 2)
         size = f.tell()
         tail_at = max(0, size - END_SIZE - 65535)
@@ -168,7 +152,7 @@ class ZipReader(DataSourceReader):
 
     def read(self, partition: Span) -> Iterator[tuple]:
         start = partition.entries[0].offset
-        with _opened(self.path) as f:
+        with opened(self.path) as f:
             f.seek(start)
             data = f.read(max(e.end() for e in partition.entries) - start)
         for e in partition.entries:
@@ -222,4 +206,4 @@ def span_groups(members: DataFrame, key: str, start: str, end: str, max_gap: int
     return narrow.groupBy("k", "island").applyInPandas(cut, f"key {kind}, island bigint, span bigint, first bigint, last bigint, members bigint")
 
 
-__all__ = ["Entry", "ZipSource", "content", "directory", "gap_groups", "span_groups", "spans"]
+__all__ = ["Entry", "ZipSource", "content", "directory", "gap_groups", "span_groups", "spans", "write"]

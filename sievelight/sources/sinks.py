@@ -57,17 +57,12 @@ def hash_list(hashes: DataFrame, path: str, comment: str = "") -> None:
 
 
 def image_bytes(rows: DataFrame, root: str) -> None:
-    """Files of (folder, name, content) below a folder that all executors share; a file that exists stays."""
-    import os
+    """Files of (folder, name, content) below a folder of a file system that all executors share; a file that exists stays."""
+    from sievelight.sources.files import write_new
 
     def write(part):
         for r in part:
-            target = os.path.join(root, r["folder"], r["name"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            if not os.path.exists(target):
-                with open(f"{target}.part", "wb") as f:
-                    f.write(bytes(r["content"]))
-                os.replace(f"{target}.part", target)
+            write_new(f"{root}/{r['folder']}/{r['name']}", bytes(r["content"]))
 
     rows.select("folder", "name", "content").foreachPartition(write)
 
@@ -77,6 +72,11 @@ def append_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("append").partitionBy("manifest", "model", "variant").parquet(path)
 
 
+def append_features(features: DataFrame, path: str) -> None:
+    """Vectors (manifest, model, variant, row_id, vector) beside those written before; keys are folders."""
+    features.write.mode("append").partitionBy("manifest", "model", "variant").parquet(path)
+
+
 def markdown(rows: list[dict], columns: list[tuple[str, str]]) -> str:
     """A table as text, for results of a few rows."""
     def cell(v) -> str:

@@ -37,6 +37,14 @@ def resume(rows: DataFrame, score: Callable[[DataFrame], DataFrame], path: str,
     return n
 
 
+def missing_files(listing: DataFrame, present: DataFrame) -> DataFrame:
+    """Files of a listing (path, bytes) that aren't present (path, bytes), or only in part: those that a resumed download still has to fetch, each once."""
+    wanted = listing.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("bytes").alias("bytes"))
+    have = present.groupBy("path").agg(F.max("bytes").alias("_have"))
+    met = wanted.join(have, "path", "left")
+    return met.where(F.col("_have").isNull() | (F.col("_have") < F.col("bytes"))).select("path", "bytes")
+
+
 def stream_files(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], files: int = 1000) -> None:
     """Everything new in a folder of Parquet files since the last run, through ``transform``, appended to ``sink`` exactly once."""
     new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)

@@ -3,6 +3,7 @@
 import io
 import math
 import random
+import struct
 import zipfile
 import zlib
 
@@ -285,6 +286,33 @@ def png(grey: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress((b"\0" + bytes([grey] * 6)) * 2)) + chunk(b"IEND", b"")
 
 
+def test_headers_of_images(spark, tmp_path):
+    from sievelight.functions import headers as H
+
+    rng = np.random.default_rng(2)
+    for c in (1, 3, 4):
+        img = rng.integers(0, 256, (5, 7, c), dtype=np.uint8)
+        (tmp_path / f"{c}.png").write_bytes(H.png(img))
+        assert H.shown_size(H.png(img)) == (7, 5)
+    exif = lambda o: b"\xff\xe1" + struct.pack(">H", 34) + b"Exif\0\0" + b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, o, 0, 0)
+    jpeg = lambda o: b"\xff\xd8" + exif(o) + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 30, 40) + b"\0" * 10
+    assert H.size_of(jpeg(6)) == (40, 30, 6) and H.shown_size(jpeg(6)) == (30, 40) and H.shown_size(jpeg(1)) == (40, 30) and H.shown_size(jpeg(9)) == (40, 30)
+    assert H.size_of(b"GIF89a" + struct.pack("<HH", 3, 4)) == (3, 4, 1) and H.size_of(b"BM" + b"\0" * 16 + struct.pack("<ii", 3, -4)) == (3, 4, 1)
+    assert H.size_of(b"") is None and H.size_of(b"\xff\xd8") is None and H.size_of(H.PNG + b"\0\0\0\rIHDR\0") is None and H.size_of(b"text") is None
+    img = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    turned = {1: img, 2: img[:, ::-1], 3: img[::-1, ::-1], 4: img[::-1], 5: img.transpose(1, 0, 2), 6: np.rot90(img, -1), 7: img.transpose(1, 0, 2)[::-1, ::-1], 8: np.rot90(img)}
+    assert all((H.upright(img, o) == want).all() for o, want in turned.items())
+    got = {r["path"].rsplit("/", 1)[1]: r for r in readers.decoded_images(spark, str(tmp_path)).collect()}
+    assert [got[f"{c}.png"]["channels"] for c in (1, 3, 4)] == [1, 3, 3]  # transparency lies on white
+    rgba = np.zeros((1, 2, 4), dtype=np.uint8)
+    rgba[0, 1] = (10, 20, 30, 255)
+    (tmp_path / "4.png").write_bytes(H.png(rgba))
+    one_image = readers.decoded_images(spark, str(tmp_path / "4.png")).first()
+    assert list(bytes(one_image["pixels"])) == [255, 255, 255, 10, 20, 30]
+    large = readers.decoded_images(spark, str(tmp_path / "1.png"), most=4).first()
+    assert (large["width"], large["height"]) == (4, 3)
+
+
 def test_image_folder(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.PNG").write_bytes(png(9))
