@@ -15,10 +15,12 @@ else it is accepted.
 Acceptance depends on order. Rows with the same pair of hashes collapse first: all but the first of them are cases, whatever
 befalls the first. Most of the rest is settled by the probe or stands alone. What is left (rows that meet others of the
 delivery) is settled in rounds: a row that no unsettled row before it meets is accepted, a row that meets an accepted one before
-it is a case; each round settles at least the first of every cluster.
+it is a case; each round settles at least the first of every cluster. Once no more than LEFT rows are unsettled, one task settles
+them in order, so that a long chain of near copies costs no more rounds.
 
 The best-scored link of a case is its representative. Where one case links several, their clusters are merged: the roots of
-these representatives are looked up, joined by Hash-to-Min, and only nodes of the clusters concerned get new rows. Rows of an
+these representatives are looked up and joined (by union-find in one task, beyond LEFT edges by Hash-to-Min), and only nodes of the
+clusters concerned get new rows. Rows of an
 unfinished delivery are never seen: each carries the delivery's number, and the number is committed last.
 
 Defined results: hashes that identify nothing match nothing, so a row without either is accepted; repeated rows are cases
@@ -56,6 +58,8 @@ TABLES = {
 REACH = 2 * hamming.RADIUS
 #: Bytes of packed keys in a bucket, about; a history is laid out anew when it holds GROWTH times what its plan was made for.
 BUCKET_BYTES, GROWTH = 64 << 20, 32
+#: Rows (a signature and a place it looks at) that one task may settle in order, and edges it may merge; what is more is settled in rounds until so few are left, or merged by Hash-to-Min.
+LEFT = 200_000
 #: Distances within which a pattern is a match by definition, and all levels of distance.
 WITHIN = tuple(str(d) for d in range(hamming.RADIUS + 1))
 DISTANCES = (*(str(d) for d in range(REACH + 1)), "far", "missing")
@@ -192,6 +196,50 @@ def _among(plan: hamming.Plan):
     return run
 
 
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The accepted of what is left, settled one after the other: (t, place, own) come in order of t; a signature that looks at a place where an accepted one sits is a case."""
+    taken: set[bytes] = set()
+    now, looks, own, kind = None, [], [], None
+    out = []
+
+    def settle() -> None:
+        if now is not None and taken.isdisjoint(looks):
+            taken.update(own)
+            out.append(now)
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for t, place, sits in zip(*(c.to_pylist() for c in batch.columns)):
+            if t != now:
+                settle()
+                now, looks, own = t, [], []
+            looks.append(place)
+            if sits:
+                own.append(place)
+    settle()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out, kind)], names=["t"])
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of edges: the least node of what is connected."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 class History:
     """The persisted tables of all accepted rows; opening a folder that holds one goes on with it."""
 
@@ -307,18 +355,20 @@ class History:
         left = scratch.put(fresh.join(met, "t", "left_semi"), "left")
         sits = scratch.put(left.select("t", F.explode(own).alias("place")), "sits")
         looks = scratch.put(sits.union(near.join(met, "t", "left_semi")), "looks")
-        while True:
+        while looks.count() > LEFT:
             first = sits.groupBy("place").agg(F.min("t").alias("first"))
             blocked = salted_join(looks, first, ["place"], hot).where(F.col("first") < F.col("t")).select("t").distinct()
             now = scratch.put(sits.select("t").distinct().join(blocked, "t", "left_anti"), "now")
-            if now.isEmpty():
-                break
             accepted.append(left.join(now, "t", "left_semi"))
             taken = sits.join(now, "t", "left_semi").groupBy("place").agg(F.min("t").alias("first"))
             cases = salted_join(looks, taken, ["place"], hot).where(F.col("first") < F.col("t")).select("t")
             settled = scratch.put(cases.union(now).distinct(), "settled")
             sits = scratch.put(sits.join(settled, "t", "left_anti"), "sits")
             looks = scratch.put(looks.join(settled, "t", "left_anti"), "looks")
+        rest = looks.join(sits.withColumn("own", F.lit(True)), ["t", "place"], "left").select("t", "place", F.coalesce("own", F.lit(False)).alias("own"))
+        kind = dict(rest.dtypes)["t"]
+        now = rest.repartition(1).sortWithinPartitions("t").mapInArrow(_in_order, f"t {kind}")
+        accepted.append(left.join(now, "t", "left_semi"))
         out = accepted[0]
         for more in accepted[1:]:
             out = out.unionByName(more)
@@ -359,7 +409,9 @@ class History:
         for side in ("a", "b"):
             edges = edges.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
         between = edges.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct()
-        found = scratch.put(hash_to_min(scratch.put(between, "between")), "found")
+        between = scratch.put(between, "between")
+        small = between.count() <= LEFT
+        found = scratch.put(between.repartition(1).mapInArrow(_union_find, "node bigint, component bigint") if small else hash_to_min(between), "found")
         changed = found.where("node <> component").select(F.col("node").alias("root"), F.col("component").alias("to"))
         below = roots.join(changed, "root").select("node", F.col("to").alias("root"))
         self._add(ROOTS, below.unionByName(changed.select(F.col("root").alias("node"), F.col("to").alias("root"))))
@@ -369,6 +421,9 @@ class History:
         scratch = Scratch(self.spark)
         order = Order(delivery)
         rows = scratch.put(identified(delivery, order), "delivery")
+        if rows.isEmpty():
+            scratch.drop()
+            return self.spark.createDataFrame([], "row_id bigint")
         signatures, taken, links = self.settle(rows, order, scratch)
         links = scratch.put(links, "scored")
         self.accept(taken)
@@ -430,8 +485,9 @@ def begin(rows: DataFrame, linked: bool = False, path: str | None = None) -> His
     n = known.count()
     blocks = hamming.plan_for(n).blocks
     history = History(spark, path, n, hamming.crowded_blocks(known, "ph", blocks), blocks)
-    history.accept(known, copies=True)
-    if linked:
+    if n:
+        history.accept(known, copies=True)
+    if linked and n:
         signatures = scratch.put(known.groupBy("sha", "ph").agg(F.min("t").alias("t"), F.count("*").alias("n")).withColumn("row_id", order.row(F.col("t"))), "signatures")
         probe = hamming.packed(signatures, "ph", history.plan).groupBy("slot").agg(F.collect_list("phs").alias("new"))
         within = scratch.put(probe.mapInArrow(_among(history.plan), PAIR).where(F.col("d") <= hamming.RADIUS), "within")

@@ -63,7 +63,7 @@ def test_hot_words_beyond_the_broadcast(spark, monkeypatch):
 
     monkeypatch.setattr(skew, "HOT_SHARE", 1_000_000_000)
     rule = "-" * 300
-    texts = [f"{rule} a{i} {rule}\n\n b {rule}" for i in range(400)]
+    texts = [f"{rule} a{i} {rule}\n\n b {rule}" for i in range(700)]
     want = {r["doc_id"]: r["ids"] for r in tokens.encode(docs(spark, texts)).collect()}
     monkeypatch.setattr(tokens, "FREQUENT_BYTES", 200)
     seen = []
