@@ -200,10 +200,10 @@ def inc_micro_batch(spark, d):
     return spark.read.parquet(sink)
 
 
-@query("SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, value), lambda s, x: s * 0.9 + x * CAST(0.1 AS DOUBLE)), 6) AS ema FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, value), lambda s, x: s * 0.9 + x * CAST(0.1 AS DOUBLE)), 9) AS ema FROM events GROUP BY 1")
 def inc_ema(spark, d):
     """Counts and exponential averages."""
-    return R.exponential_average(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "value", 0.9).withColumn("ema", F.round("ema", 6))
+    return R.exponential_average(spark.read.parquet(f"{d}/events.parquet"), "user_id", "ts", "value", 0.9).withColumn("ema", F.round("ema", 9))
 
 
 @query("SELECT CAST(item_id AS VARCHAR) || '.txt' AS name, octet_length(encode(text)) AS size, sha256(text) AS digest FROM eval_items")
