@@ -107,8 +107,8 @@ class ItemWindows:
         if not len(prints) or not len(self.prints):
             return none, none
         # a window that crosses from one text into the next is none
-        start = np.arange(len(prints))
-        start = start[start + self.window <= ends[np.searchsorted(ends, start, side="right")]]
+        own_end = np.repeat(ends, np.diff(ends, prepend=0))[: len(prints)]
+        start = np.flatnonzero(np.arange(self.window, self.window + len(prints)) <= own_end)
         prints = prints[start]
         views = np.lib.stride_tricks.sliding_window_view(hashes, self.window)
         positions, windows = [none], [none]
@@ -122,10 +122,12 @@ class ItemWindows:
                 p = np.searchsorted(cum, k, side="right")
                 w = order[first[p] + k - (cum[p] - sizes[p])]
                 x = prints[p] ^ self.prints[w]
-                close = np.bitwise_count(x) <= self.radius
-                for earlier in range(b):  # a pair counts under its first equal block
-                    close &= self._key(x, earlier) != 0
-                p, w = p[close], w[close]
+                close = np.flatnonzero(np.bitwise_count(x) <= self.radius)
+                x = x[close]
+                first = np.ones(len(close), dtype=bool)  # a pair counts under its first equal block
+                for earlier in range(b):
+                    first &= self._key(x, earlier) != 0
+                p, w = p[close[first]], w[close[first]]
                 for lo in range(0, len(p), 1 << 13):
                     i, j = start[p[lo : lo + (1 << 13)]], w[lo : lo + (1 << 13)]
                     alike = self.similarity(self.rows[j], views[i]) >= SIMILAR
