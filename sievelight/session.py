@@ -87,6 +87,11 @@ class Scratch:
         remove(self.spark, self.path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver forget finished queries, whose shuffle files Spark then deletes; else they stay until memory runs short."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whichever that is."""
     jvm = spark.sparkContext._jvm
