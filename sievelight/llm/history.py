@@ -44,7 +44,7 @@ from sievelight.functions.normal import phash_of, sha256_bytes
 from sievelight.llm import hamming
 from sievelight.llm.splits import hash_to_min
 from sievelight.operators.skew import hot_buckets, hot_join, salted_join
-from sievelight.session import Scratch, materialise, remove, shared_dir
+from sievelight.session import Scratch, materialise, release, remove, shared_dir
 
 SAME, NEAR, ROWS, REPS, ROOTS = "same", "near", "rows", "reps", "roots"
 TABLES = {
@@ -311,13 +311,16 @@ class History:
         grouped = rows.groupBy("sha", "ph").agg(F.min("t").alias("t"), F.count("*").alias("n"))
         signatures = scratch.put(grouped.withColumn("row_id", order.row(F.col("t"))), "signatures")
         by_slot = hamming.packed(signatures, "ph", self.plan).repartition(self.buckets, "slot").groupBy("slot")
-        probe = scratch.put_bucketed(by_slot.agg(F.collect_list("phs").alias("new")), "probe", "slot", self.buckets)
+        early = Scratch(self.spark)
+        probe = early.put_bucketed(by_slot.agg(F.collect_list("phs").alias("new")), "probe", "slot", self.buckets)
         links = scratch.put(self._old_links(signatures, probe, scratch), "links")
         counts = _patterns(links)
         self.counts = {k: self.counts.get(k, 0) + counts.get(k, 0) for k in self.counts | counts}
         old = _scored(links, self.counts).select("t", "to", "score")
         fresh = scratch.put(signatures.join(old.select("t").distinct(), "t", "left_anti"), "fresh")
         within = scratch.put(probe.mapInArrow(_among(self.plan), PAIR).where(F.col("d") <= hamming.RADIUS), "within")
+        early.drop()
+        release(self.spark)
         within = within.unionByName(within.select(F.col("other").alias("ph"), F.col("ph").alias("other"), "d"))
         taken = scratch.put(self._settle_fresh(fresh, within, scratch), "taken")
         missed = fresh.join(taken.select("t"), "t", "left_anti")
@@ -426,6 +429,7 @@ class History:
             return self.spark.createDataFrame([], "row_id bigint")
         signatures, taken, links = self.settle(rows, order, scratch)
         links = scratch.put(links, "scored")
+        release(self.spark)
         self.accept(taken)
         self.represent(signatures, links, rows, taken, scratch)
         cases = materialise(rows.select("row_id").join(taken.select("row_id"), "row_id", "left_anti"), "cases")
@@ -498,6 +502,7 @@ def begin(rows: DataFrame, linked: bool = False, path: str | None = None) -> His
         history.represent(signatures, links, known, signatures, scratch)
     history._close_delivery(n)
     scratch.drop()
+    release(spark)
     return history
 
 
