@@ -124,10 +124,10 @@ class ItemWindows:
                 x = prints[p] ^ self.prints[w]
                 close = np.flatnonzero(np.bitwise_count(x) <= self.radius)
                 x = x[close]
-                first = np.ones(len(close), dtype=bool)  # a pair counts under its first equal block
+                lead = np.ones(len(close), dtype=bool)  # a pair counts under its first equal block
                 for earlier in range(b):
-                    first &= self._key(x, earlier) != 0
-                p, w = p[close[first]], w[close[first]]
+                    lead &= self._key(x, earlier) != 0
+                p, w = p[close[lead]], w[close[lead]]
                 for lo in range(0, len(p), 1 << 13):
                     i, j = start[p[lo : lo + (1 << 13)]], w[lo : lo + (1 << 13)]
                     alike = self.similarity(self.rows[j], views[i]) >= SIMILAR
