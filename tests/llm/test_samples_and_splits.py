@@ -58,6 +58,44 @@ def test_sample_meets_floors_and_shares(spark, rows):
     assert all(by[1, c] == min(30, list(first.values()).count(c)) for c in "01")
 
 
+def test_sample_decides_what_is_unmet(spark, rows, monkeypatch):
+    plans = [(1, "generator", "real", 0.9, 2, 40), (1, "generator", "gen x", 0.1, 500, 40), (1, "generator", "GEN-Y", 0.0, 7, 40)]
+    plans += [(2, "label", "0", 0.5, 3, 60), (2, "label", "1", 0.5, 3, 60), (2, "source", "beta", 0.3, 3, 60), (2, "source", "alpha 1", 0.7, 3, 60), (None, "label", "7", 0.0, 9, 5), (None, "label", "9", 0.0, 1, 5)]
+    manifest, wanted = spark.createDataFrame(rows, X.SCHEMA), spark.createDataFrame([(*t, "a", "b") for t in plans], TARGETS).drop("supply", "compared")
+    of = {"label": lambda r: None if r[3] is None else str(r[3]), "source": lambda r: X.name(r[4]), "generator": lambda r: X.name(r[5])}
+    sha, has = {r[0]: X.hashes(r)[0] for r in rows}, {}
+    for r in rows:
+        if X.split(r) == "train" and sha[r[0]]:
+            for f, g in of.items():
+                has.setdefault((f, g(r)), set()).add(sha[r[0]])
+    drawn = proportions.sample(manifest, wanted).collect()
+    assert len({(d["plan_id"], sha[d["row_id"]]) for d in drawn}) == len(drawn)
+    report = {(r["plan_id"], r["category"]): r for r in proportions.report(manifest, wanted).collect()}
+    for plan, field, category, share, least, size in plans:
+        r, supply = report[plan, category], has.get((field, category if field == "label" else X.name(category)), set())
+        want = max(least, int(share * size + 0.5))
+        held = sum(sha[d["row_id"]] in supply for d in drawn if d["plan_id"] == plan)
+        assert held >= min(want, len(supply)) and r["drawn"] >= min(want, r["owned"])  # short only if the pool is
+        assert (r["wanted"], r["held"], r["unmet"]) == (want, held, held < want)
+    assert {k for k, r in report.items() if r["unmet"]} == {(1, "gen x"), (None, "9")}
+    assert {d["by_field"] for d in drawn if d["plan_id"] == 2} == {"label|source"}  # one sample for both fields
+
+    take = proportions.take_by_hash
+    monkeypatch.setattr(proportions, "take_by_hash", lambda *a, **k: take(*a, **k).where("NOT exists(signature, s -> s.first = 'real')"))
+    report = {(r["plan_id"], r["category"]): r for r in proportions.report(manifest, wanted).collect()}
+    assert report[1, "real"]["unmet"] and not report[1, "GEN-Y"]["unmet"]  # what isn't drawn isn't held
+
+
+def test_repair_holds_what_is_wanted_and_no_more():
+    a, both = (("a", ("a",)),), (("a", ("a", "b")),)
+    got = proportions.repair({a: 90, both: 4}, {(0, "a"): 0.5, (0, "b"): 0.5}, {}, 6, 1, {(0, "a"): 3, (0, "b"): 3})
+    assert got[both] >= 3 and sum(got.values()) == 6
+    pool = {((x, (x,)), (y, (y,))): 50 for x in "ab" for y in "cde"}
+    shares = {(0, "a"): 0.5, (0, "b"): 0.5, (1, "c"): 0.2, (1, "d"): 0.3, (1, "e"): 0.5}
+    got = proportions.repair(pool, shares, {}, 60, 1, {c: round(60 * x) for c, x in shares.items()})
+    assert sum(got.values()) == 60 and all(sum(n for k, n in got.items() if k[i][0] == c) == round(60 * x) for (i, c), x in shares.items())
+
+
 def test_swap_repair_ends_at_the_least_deviation():
     rng = random.Random(2)
     for _ in range(60):
