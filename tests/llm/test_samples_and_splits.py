@@ -60,7 +60,7 @@ def test_sample_meets_floors_and_shares(spark, rows):
 
 def test_sample_decides_what_is_unmet(spark, rows, monkeypatch):
     plans = [(1, "generator", "real", 0.9, 2, 40), (1, "generator", "gen x", 0.1, 500, 40), (1, "generator", "GEN-Y", 0.0, 7, 40)]
-    plans += [(2, "label", "0", 0.5, 3, 60), (2, "label", "1", 0.5, 3, 60), (2, "source", "beta", 0.3, 3, 60), (2, "source", "alpha 1", 0.7, 3, 60), (None, "label", "7", 0.0, 9, 5), (None, "label", "9", 0.0, 1, 5)]
+    plans += [(2, "label", "0", 0.5, 3, 60), (2, "label", "1", 0.5, 3, 60), (2, "source", "beta", 0.3, 3, 60), (2, "source", "alpha 1", 0.7, 3, 60), (2, "label", "", 0.0, 0, 60), (None, "label", "7", 0.0, 9, 5), (None, "label", "9", 0.0, 1, 5)]
     manifest, wanted = spark.createDataFrame(rows, X.SCHEMA), spark.createDataFrame([(*t, "a", "b") for t in plans], TARGETS).drop("supply", "compared")
     of = {"label": lambda r: None if r[3] is None else str(r[3]), "source": lambda r: X.name(r[4]), "generator": lambda r: X.name(r[5])}
     sha, has = {r[0]: X.hashes(r)[0] for r in rows}, {}
@@ -79,6 +79,8 @@ def test_sample_decides_what_is_unmet(spark, rows, monkeypatch):
         assert (r["wanted"], r["held"], r["unmet"]) == (want, held, held < want)
     assert {k for k, r in report.items() if r["unmet"]} == {(1, "gen x"), (None, "9")}
     assert {d["by_field"] for d in drawn if d["plan_id"] == 2} == {"label|source"}  # one sample for both fields
+    checked = proportions.sample_check(manifest, wanted).collect()
+    assert len(checked) == len(plans) and all(r["as_reported"] and r["floor_kept"] and not r["repeated"] for r in checked)
 
     take = proportions.take_by_hash
     monkeypatch.setattr(proportions, "take_by_hash", lambda *a, **k: take(*a, **k).where("NOT exists(signature, s -> s.first = 'real')"))
